@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from rosterlens.plans import q_cells, q_grading, q_splits, q_text  # noqa: F401
+from rosterlens.plans import q_cells, q_grading, q_labels, q_splits, q_text  # noqa: F401
 from rosterlens.plans.registry import QUERIES, SQL  # noqa: F401
