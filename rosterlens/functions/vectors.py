@@ -21,9 +21,10 @@ def norm(a: Column | str) -> Column:
 
 
 def unit(a: Column | str, floor: float = 1e-9) -> Column:
+    """The vector at unit length. The length is bound once, not computed again per element."""
     a = F.col(a) if isinstance(a, str) else a
-    n = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    length = F.array(F.greatest(norm(a), F.lit(floor)))
+    return F.get(F.transform(length, lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def dims(df: DataFrame, vector: str, keep: list[str]) -> DataFrame:

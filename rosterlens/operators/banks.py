@@ -1,13 +1,15 @@
 """Answer-vector banks: pooling, packing, and pair-free dispersion of vectors.
 
-Vector sums are one aggregate expression per dimension. The width is a fixed property of the
-encoder (tens to hundreds), so nothing is exploded and partial sums stay as wide as one vector.
+Vector sums are one aggregate over whole vectors. The width is a fixed property of the encoder
+(tens to hundreds), so nothing is exploded and a partial sum is as wide as one vector.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,39 +35,40 @@ def question_vectors(questions: DataFrame, vectors: DataFrame, seed: int = 0) ->
     return keyed.join(vectors.select("vec_id", "emb"), "vec_id").drop("vec_id")
 
 
-def sum_vectors(df: DataFrame, keys: Sequence[str], vector: str, width: int, weight: Column | None = None) -> DataFrame:
+def sum_vectors(df: DataFrame, keys: Sequence[str], vector: str, weight: Column | None = None) -> DataFrame:
     """(keys, total array<double>, n): elementwise sums per group with map-side combine."""
-    w = F.lit(1.0) if weight is None else weight
-    sums = [F.sum(F.get(vector, F.lit(i)).cast("double") * w).alias(f"__{i}") for i in range(width)]
-    return df.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n")).select(
-        *keys, F.array(*[F.col(f"__{i}") for i in range(width)]).alias("total"), "n"
+    v = F.col(vector).cast("array<double>")
+    if weight is not None:
+        v = F.transform(v, lambda x: x * weight)
+    return df.select(*keys, array_to_vector(v).alias("__v")).groupBy(*keys).agg(
+        vector_to_array(Summarizer.sum(F.col("__v"))).alias("total"), F.count(F.lit(1)).alias("n")
     )
 
 
-def pooled_text(answers: DataFrame, width: int, models: DataFrame | None = None) -> DataFrame:
+def pooled_text(answers: DataFrame, models: DataFrame | None = None) -> DataFrame:
     """Mean covered answer vector per model at unit length; NULL for a model without answers."""
-    mean = sum_vectors(answers, ["model_id"], "emb", width).withColumn(
+    mean = sum_vectors(answers, ["model_id"], "emb").withColumn(
         "emb", F.transform("total", lambda x: x / F.col("n"))
     )
     pooled = mean.select("model_id", unit("emb").alias("emb"), F.col("n").alias("n_answers"))
     return pooled if models is None else models.select("model_id").join(pooled, "model_id", "left")
 
 
-def filled_with_mean(pooled: DataFrame, train: Column, width: int) -> DataFrame:
+def filled_with_mean(pooled: DataFrame, train: Column) -> DataFrame:
     """Models without text take the mean of the training models' pooled vectors."""
-    mean = sum_vectors(pooled.filter(train & F.col("emb").isNotNull()), [], "emb", width).select(
+    mean = sum_vectors(pooled.filter(train & F.col("emb").isNotNull()), [], "emb").select(
         F.transform("total", lambda x: x / F.col("n"))
     )
     return pooled.withColumn("emb", F.coalesce("emb", mean.scalar()))
 
 
-def question_block(cells: DataFrame, question_emb: DataFrame, width: int, value: str = "correct") -> DataFrame:
+def question_block(cells: DataFrame, question_emb: DataFrame, value: str = "correct") -> DataFrame:
     """Correctness-weighted mean question vector per model: (A - column mean) . Q / number of questions."""
     mu = cells.groupBy("question_id").agg(F.avg(value).alias("mu"))
     n = question_emb.agg(F.count(F.lit(1))).scalar()
     rows = cells.join(mu, "question_id").join(question_emb, "question_id")
-    sums = sum_vectors(rows, ["model_id"], "emb", width, F.col(value) - F.col("mu"))
-    return sums.select("model_id", F.transform("total", lambda x: x / n).alias("emb"))
+    sums = sum_vectors(rows, ["model_id"], "emb", F.col(value) - F.col("mu"))
+    return sums.withColumn("nq", n).select("model_id", F.transform("total", lambda x: x / F.col("nq")).alias("emb"))
 
 
 def pack(answers: DataFrame) -> DataFrame:
@@ -98,13 +101,13 @@ def part_gaps(parts: DataFrame) -> DataFrame:
     return first_or_joined.unionByName(short)
 
 
-def discrepancy(answers: DataFrame, n_models: Column, width: int) -> DataFrame:
+def discrepancy(answers: DataFrame, n_models: Column) -> DataFrame:
     """Mean pairwise cosine distance per question, and its coverage, without listing pairs.
 
     With unit vectors, sum over pairs of the cosine is (|sum e|^2 - n) / 2.
     """
     ones = answers.withColumn("len", norm("emb")).filter("len > 0").withColumn("emb", unit("emb", 1e-12))
-    s = sum_vectors(ones, ["question_id"], "emb", width)
+    s = sum_vectors(ones, ["question_id"], "emb")
     sq = F.aggregate("total", F.lit(0.0), lambda a, x: a + x * x)
     n = F.col("n")
     return s.select(
