@@ -63,6 +63,7 @@ def stream_windows(spark, sf):
     """The daily windows computed by a stream over the event file; equal to the batch form."""
     schema = T.table(spark, sf, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
     out = S.windowed_accuracy(S.event_answers(source))
     folder = scratch(spark)
     # complete mode keeps every window, also those the watermark has not closed yet
@@ -73,7 +74,9 @@ def stream_windows(spark, sf):
         .start()
     )
     q.awaitTermination()
-    return rounded(spark.read.parquet(folder + "/table"), "accuracy")
+    out = spark.read.parquet(folder + "/table")
+    local = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}
+    return rounded(out.withColumns(local), "accuracy")
 
 
 @query(
