@@ -164,3 +164,47 @@ def r2_pooled(df: DataFrame, keys: Sequence[str], column: Sequence[str], truth:
         F.when((F.min("__n") >= 2) & (total > EPS), 1 - F.sum("__e") / total).alias("r2"),
         F.sum("__n").alias("n"),
     )
+
+
+def concordance(df: DataFrame, keys: Sequence[str], truth: str, score: str) -> DataFrame:
+    """How many pairs a score orders as the truth does, without listing pairs.
+
+    (keys, concordant, tied, pairs, accuracy): pairs with different truths; pairs the score ties
+    count half. Scores are numbered 1..m over their distinct values. Two numbers differ first at
+    one binary digit: above it they share a prefix, at it one has 0 and the other 1. So every
+    pair is counted in exactly one (digit, prefix) group, as a 0-row with a smaller truth below a
+    1-row. That is n log m rows and the range-split running counts used for ranks.
+    """
+    k = list(keys)
+    cells = df.groupBy(*k, score, truth).agg(F.count(F.lit(1)).alias("__c"))
+    levels = cells.groupBy(*k, score).agg(F.lit(1).alias("__one"))
+    number = value_offsets(levels, k, score, ["__one"]).select(*k, score, F.col("__one_below").cast("bigint").alias("__id"))
+    top = number.groupBy(*k).agg(F.max("__id").alias("__top"))
+    coded = cells.join(number, [*k, score])
+    coded = coded.join(top, k) if k else coded.withColumn("__top", top.scalar())
+    digits = F.ceil(F.log2(F.col("__top") + F.lit(2.0))).cast("int")
+    split = coded.withColumn("__d", F.explode(F.sequence(F.lit(0), digits))).select(
+        *k, truth, "__d", F.call_function("shiftright", F.col("__id"), F.col("__d") + 1).alias("__p"),
+        F.when(F.call_function("shiftright", F.col("__id"), F.col("__d")) % 2 == 0, F.col("__c")).otherwise(0).alias("__z"),
+        F.when(F.call_function("shiftright", F.col("__id"), F.col("__d")) % 2 == 1, F.col("__c")).otherwise(0).alias("__o"),
+    )
+    sums = split.groupBy(*k, "__d", "__p", truth).agg(F.sum("__z").alias("__z"), F.sum("__o").alias("__o"))
+    won = value_offsets(sums, [*k, "__d", "__p"], truth, ["__z"]).groupBy(*k).agg(
+        F.sum(F.col("__o") * F.col("__z_below")).alias("concordant")
+    )
+
+    def same(by: list[str], name: str) -> DataFrame:
+        c = cells.groupBy(*k, *by).agg(F.sum("__c").alias("__n"))
+        return c.groupBy(*k).agg(F.sum(F.col("__n") * (F.col("__n") - 1) / 2).alias(name))
+
+    parts = won
+    for other in (same([], "__all"), same([truth], "__t"), same([score], "__s"), same([score, truth], "__st")):
+        if k:
+            parts = parts.join(other, k)
+        else:
+            parts = parts.withColumn(other.columns[0], other.scalar())
+    pairs, tied = F.col("__all") - F.col("__t"), F.col("__s") - F.col("__st")
+    return parts.select(
+        *k, F.col("concordant").cast("bigint").alias("concordant"), tied.cast("bigint").alias("tied"), pairs.cast("bigint").alias("pairs"),
+        F.try_divide(F.col("concordant") + tied / 2, pairs).alias("accuracy"),
+    )

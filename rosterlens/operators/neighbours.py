@@ -73,6 +73,35 @@ def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     return top_by(kept, ["model_id"], [F.round("sim", TIE_DIGITS).desc(), F.col("other")], k, "pos")
 
 
+def nearest_between(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """near(model_id, other, sim, pos): the k targets closest to each query by distance, ties by id.
+
+    Both sides are hashed into blocks; a task keeps k targets per query of its block pair.
+    """
+    nq = queries.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
+    nt = targets.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
+    q = queries.select(F.col("model_id").alias("model_id"), F.col("emb").alias("emb")).withColumn("n", nq).withColumn("m", nt)
+    t = targets.select(F.col("model_id").alias("other"), F.col("emb").alias("other_emb")).withColumn("n", nq).withColumn("m", nt)
+    left = q.select("model_id", "emb", (keyed_hash(0, "block", F.col("model_id")) % F.col("n")).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("bj"))
+    right = t.select("other", "other_emb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bi"), (keyed_hash(0, "block", F.col("other")) % F.col("m")).cast("int").alias("bj"))
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"model_id": [], "other": [], "sim": []})
+        b = b.sort_values("other")
+        x, y = np.stack(a["emb"].to_list()), np.stack(b["other_emb"].to_list())
+        sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
+        sim = -np.sqrt(np.maximum(sq, 0))
+        order = np.argsort(-np.round(sim, TIE_DIGITS), axis=1, kind="stable")[:, :k]
+        return pd.DataFrame(
+            {"model_id": np.repeat(a["model_id"].to_numpy(), order.shape[1]), "other": b["other"].to_numpy()[order.ravel()], "sim": np.take_along_axis(sim, order, 1).ravel()}
+        )
+
+    kind, other = dict(queries.dtypes)["model_id"], dict(targets.dtypes)["model_id"]
+    kept = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(best, f"model_id {kind}, other {other}, sim double")
+    return top_by(kept, ["model_id"], [F.round("sim", TIE_DIGITS).desc(), F.col("other")], k, "pos")
+
+
 def neighbour_weights(near: DataFrame, metric: str = "cosine") -> DataFrame:
     """Adds ``w``: the clipped cosine or 1/(1 + distance); 1 for all when every neighbour is repelled."""
     w = F.greatest("sim", F.lit(0.0)) if metric == "cosine" else 1.0 / (1.0 - F.col("sim"))

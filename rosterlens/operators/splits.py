@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.draws import draw_index, hash_position, keyed_hash, normal
+from rosterlens.session import cut_lineage
 
 # Fixed sizes and seed of the question cut.
 EVAL_SIZE = 4096
@@ -50,9 +51,10 @@ def question_blocks(
     questions: DataFrame, eval_size: int = EVAL_SIZE, tune_size: int = TUNE_SIZE, seed: int = BLOCK_SEED
 ) -> DataFrame:
     """blocks(question_id, bench, block): eval from the whole axis, tune from the rest, pool the remainder."""
-    ev = stratified_sample(questions, eval_size, seed, "eval")
-    rest = questions.join(ev, "question_id", "left_anti").select("question_id", "bench")
-    tune = stratified_sample(rest, tune_size, seed, "tune")
+    questions = cut_lineage(questions)
+    ev = cut_lineage(stratified_sample(questions, eval_size, seed, "eval"))
+    rest = cut_lineage(questions.join(ev, "question_id", "left_anti").select("question_id", "bench"))
+    tune = cut_lineage(stratified_sample(rest, tune_size, seed, "tune"))
     pool = rest.join(tune, "question_id", "left_anti")
     return (
         ev.withColumn("block", F.lit("eval"))
@@ -228,7 +230,3 @@ def filled_grid(cells: DataFrame, kept: DataFrame, questions: DataFrame) -> Data
             F.col("correct").isNotNull().cast("int").alias("covered"),
         )
     )
-
-
-def bench_position(df: DataFrame, by: Sequence[str], order: Column) -> DataFrame:
-    return df.withColumn("pos", F.row_number().over(Window.partitionBy(*by).orderBy(order)))

@@ -344,6 +344,173 @@ def external_topk(b: Bench) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- pairs, answers, traits
+@task("pairwise", "accuracy", "structural")
+def pairwise(b: Bench) -> DataFrame:
+    """Which of two held-out models wins a benchmark, averaged over benchmarks.
+
+    A linear head on feature differences scores a pair by the difference of two model scores, and
+    its normal equations over all training pairs are those of a head on the models' ranks. So
+    the head is fitted on ranks and the held-out pairs of a fold are counted, never listed.
+    """
+    s = b.benchmark_scores().withColumn("score", F.round("score", 12))
+    ranked = R.mid_rank(s, ["bench"], "score", "rank")
+    axis = [r[0] for r in s.select("bench").distinct().orderBy("bench").collect()]
+    scored = _per_benchmark(b, ranked, "rank", axis).join(s, ["model_id", "bench"]).join(b.fold_plan(), "model_id")
+    won = R.concordance(cut_lineage(scored), ["bench", "fold"], "score", "predicted")
+    per = won.groupBy("bench").agg((F.sum(F.col("concordant") + F.col("tied") / 2) / F.sum("pairs")).alias("a"), F.sum("pairs").alias("n"))
+    return per.agg(F.avg("a").alias("accuracy"), F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_benchmarks"))
+
+
+def mean_divergence(answers: DataFrame) -> DataFrame:
+    """(model_id, y, n): 1 - mean cosine to every other model's answer over the questions both answered.
+
+    With unit vectors e and S_q their sum over the models of question q, the cosines of e to the
+    others add up to e . S_q - 1, so no pair of models is listed.
+    """
+    from rosterlens.functions.vectors import dot, norm, unit
+    from rosterlens.operators.banks import sum_vectors
+
+    ones = answers.filter(norm("emb") > 0).withColumn("emb", unit("emb", 1e-12))
+    total = sum_vectors(ones, ["question_id"], "emb")
+    j = ones.join(total, "question_id").filter("n > 1")
+    return j.groupBy("model_id").agg(
+        (1.0 - F.sum(dot("emb", "total") - 1.0) / F.sum(F.col("n") - 1)).alias("y"), F.sum(F.col("n") - 1).alias("n")
+    )
+
+
+@task("answer_divergence", "spearman", "structural")
+def answer_divergence(b: Bench) -> DataFrame:
+    """How far a model's answers lie from everybody else's, from the embedding."""
+    if "answers" not in b.cache:
+        return absent(b, "spearman", "no answer vectors on this run")
+    return scalar_transfer(b, mean_divergence(b.cache["answers"]).select("model_id", "y"), "spearman")
+
+
+@task("model_authorship", "top1", "traits")
+def model_authorship(b: Bench) -> DataFrame:
+    """Match a predicted benchmark profile to the model it belongs to, top-1 against 1/n.
+
+    The closest true profile is a nearest-neighbour search in blocks.
+    """
+    from rosterlens.operators.embed import zscore
+    from rosterlens.operators.neighbours import nearest_between
+
+    s = b.benchmark_scores()
+    axis = [r[0] for r in s.select("bench").distinct().orderBy("bench").collect()]
+    y = wide_target(s, "bench", "score", axis)
+    z = cut_lineage(zscore(y, "y", F.lit(True), "z").select("model_id", F.col("z").alias("y")))
+    out = oof_ridge(rows_for(b, z))
+    near = nearest_between(out.select("model_id", F.col("predicted").alias("emb")), z.select("model_id", F.col("y").alias("emb")), 1)
+    hit = F.avg((F.col("model_id") == F.col("other")).cast("double"))
+    return near.agg(hit.alias("top1"), (F.lit(1.0) / F.count(F.lit(1))).alias("chance"), F.count(F.lit(1)).alias("n_models"))
+
+
+@task("rm_style", "spearman", "reward")
+def rm_style(b: Bench) -> DataFrame:
+    """Mean reward once the correctness effect is removed; the effect is fitted on the even folds' models."""
+    from rosterlens.operators.labels import correctness_residual
+
+    if "measures" not in b.cache:
+        return absent(b, "spearman", "no reward labels on this run")
+    m = b.cache["measures"].join(b.fold_plan(), "model_id")
+    res = correctness_residual(m, F.col("fold") % 2 == 0)
+    return scalar_transfer(b, res.groupBy("model_id").agg(F.avg("residual").alias("y")), "spearman")
+
+
+@task("specialisation", "r2", "downstream")
+def specialisation(b: Bench) -> DataFrame:
+    """What a model is good at, competence removed: later components of one question half, and how far the other half agrees."""
+    from rosterlens.operators.embed import bits_pca, center_bits
+    from rosterlens.operators.splits import half_splits
+
+    n_pc = 4
+    half = cut_lineage(half_splits(b.cells.select("question_id").distinct(), 1, b.seed))
+    profile = []
+    for h in (1, 2):
+        x = center_bits(b.cells.join(half.filter(F.col("half") == h), "question_id", "left_semi"), value="acc")
+        scores, _, _ = bits_pca(cut_lineage(x), n_pc, rounds=3)
+        profile.append(cut_lineage(scores.select("model_id", F.slice("vec", 2, n_pc - 1).alias("y"))))
+    out = oof_ridge(rows_for(b, profile[0]))
+    long = out.select(F.posexplode(F.arrays_zip("y", "predicted")).alias("dim", "c")).select("dim", "c.y", "c.predicted")
+    r2 = R.r2_pooled(long, [], ["dim"], "y", "predicted").select("r2")
+    both = cut_lineage(
+        profile[0].join(profile[1].withColumnRenamed("y", "y2"), "model_id")
+        .select(F.posexplode(F.arrays_zip("y", "y2")).alias("dim", "c")).select("dim", F.col("c.y").alias("a"), F.col("c.y2").alias("b"))
+    )
+    # components are known up to sign: align each one before pooling
+    sign = both.groupBy("dim").agg(F.signum(F.sum(F.col("a") * F.col("b")) + 1e-12).alias("sg"))
+    rel = both.join(sign, "dim").withColumn("b", F.col("b") * F.col("sg")).agg(R.pearson("a", "b"))
+    return r2.withColumn("reliability", rel.scalar())
+
+
+@task("knapsack", "headroom", "downstream")
+def knapsack(b: Bench) -> DataFrame:
+    """A portfolio chosen on decoded cells against one chosen on true cells, under a memory budget.
+
+    Chosen on one question half, scored on the other; random affordable squads are the chance level.
+    """
+    from rosterlens.operators import portfolio as PF
+    from rosterlens.operators.splits import half_splits
+
+    budget = 24.0
+    cost = b.models.filter(F.col("vram_gb").isNotNull()).select("model_id", F.col("vram_gb").alias("gb"))
+    half = cut_lineage(half_splits(b.cells.select("question_id").distinct(), 1, b.seed))
+    fit, held = half.filter("half = 1"), half.filter("half = 2")
+    true = cut_lineage(b.cells.join(cost, "model_id", "left_semi").select("model_id", "question_id", F.col("acc").alias("a")))
+    guess = cut_lineage(
+        b.decoded().join(cost, "model_id", "left_semi").select("model_id", "question_id", F.greatest("predicted", F.lit(0.0)).alias("a"))
+    )
+    on_fit = true.join(fit, "question_id", "left_semi")
+    n_held = held.count()
+    if n_held == 0 or cost.filter(F.col("gb") <= budget).isEmpty():
+        return absent(b, "headroom", "nothing fits the budget")
+    best = PF.greedy(on_fit, cost, budget)
+    chosen = PF.greedy(guess.join(fit, "question_id", "left_semi"), cost, budget)
+    scored = true.join(held, "question_id", "left_semi")
+    pairs = [("reference", best), ("predicted", chosen)]
+    value = {name: PF.coverage(scored, squad, n_held) for name, squad in pairs}
+    squads = PF.random_squads(cost, budget, size=max(len(chosen), 1), squads=20, seed=b.seed)
+    chance = PF.squad_values(scored, squads, n_held).agg(F.avg("value")).first()[0]
+    head = value["reference"] - chance
+    return b.models.agg(
+        F.lit(value["predicted"]).alias("predicted_value"), F.lit(value["reference"]).alias("reference_value"), F.lit(chance).alias("random_value"),
+        F.lit((value["predicted"] - chance) / head if head > 1e-9 else None).cast("double").alias("headroom"),
+        F.lit(value["predicted"] / value["reference"] if value["reference"] else None).cast("double").alias("retention"),
+        F.lit(len(chosen)).alias("squad_size"),
+    )
+
+
+# ---------------------------------------------------------------- cards
+def register_card_class(name: str, grouped: str | None, min_members: int = 3) -> None:
+    def run(b: Bench) -> DataFrame:
+        if "cards" not in b.cache:
+            return absent(b, "macro_f1", "no model cards on this run")
+        labels = b.cache["cards"].filter(F.col(name).isNotNull() & (F.col(name) != "unknown"))
+        codes = labels.select(name).distinct().select(name, F.xxhash64(name).alias("h"))
+        coded = labels.join(codes, name).select("model_id", F.pmod("h", F.lit(1_000_003)).cast("int").alias("label"))
+        return class_transfer(b, coded, min_members, grouped)
+
+    TASKS[name] = TaskSpec(name, "macro_f1", run, "cards")
+
+
+def register_card_value(name: str, grouped: str | None) -> None:
+    def run(b: Bench) -> DataFrame:
+        if "cards" not in b.cache:
+            return absent(b, "spearman", "no model cards on this run")
+        return scalar_transfer(b, b.cache["cards"].select("model_id", F.col(name).alias("y")), "spearman", grouped)
+
+    TASKS[name] = TaskSpec(name, "spearman", run, "cards")
+
+
+# Fixed names; properties of a base model are folded by family.
+register_card_value("hf_downloads", None)
+register_card_value("hf_context_length", "family")
+register_card_value("hf_release_date", None)
+register_card_class("hf_architecture_family", "family")
+register_card_class("hf_license_type", None)
+
+
 # ---------------------------------------------------------------- label columns
 def register_label_task(board: str, primary: str = "spearman", group: str = "external") -> None:
     """One task per label column: the same query, another board."""
@@ -382,8 +549,6 @@ BOARD_TASKS = (
     "ollama_quant_menu",
     "ugi_willingness",
     "lb_pt_average",
-    "hf_downloads",
-    "hf_release_date",
     "length_profile",
     "hedge_style",
     "refusal_rate",

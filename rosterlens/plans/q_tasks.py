@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rosterlens.functions import ranks as R
+from rosterlens.functions import scalars as X
 from rosterlens.operators import heads as H
 from rosterlens.operators import irt as I
+from rosterlens.operators import portfolio as PF
 from rosterlens.operators import selection as K
 from rosterlens.operators import tasks as TK
 from rosterlens.operators.labels import labels_long
 from rosterlens.plans.common_sql import CELLS
 from rosterlens.plans.q_cells import rounded
-from rosterlens.plans.q_labels import aliases, boards
+from rosterlens.plans.q_labels import aliases, boards, cards, measures
 from rosterlens.plans.q_splits import PRED, blocks, predicted
-from rosterlens.plans.q_vectors import fused, rounded_vec, train_models
+from rosterlens.plans.q_vectors import ANSWERS, answers, fused, rounded_vec, train_models
 from rosterlens.plans.registry import query
 from rosterlens.session import cut_lineage
 from rosterlens.sources import tables as T
@@ -42,6 +45,23 @@ def bench(spark, sf) -> TK.Bench:
             models=cut_lineage(T.models(spark, sf)),
             labels=cut_lineage(labels),
         )
+        run = _RUNS[key]
+        # a supplier's card is its first customer's by key; the other blocks are full tables
+        n = T.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+        card = cards(spark, sf).select((F.col("card_id") % n).alias("model_id"), "card_id", "c")
+        first = card.groupBy("model_id").agg(F.min_by("c", "card_id").alias("c"))
+        run.cache["cards"] = cut_lineage(
+            first.select(
+                "model_id",
+                X.log10_1p(F.col("c.popularity.downloads").cast("double")).alias("hf_downloads"),
+                X.log2(F.col("c.architecture.max_position_embeddings").cast("double")).alias("hf_context_length"),
+                X.days_since_epoch(F.col("c.timestamps.createdAt")).alias("hf_release_date"),
+                X.architecture_family(F.col("c.architecture.model_type")).alias("hf_architecture_family"),
+                X.license_type(F.col("c.metadata.license")).alias("hf_license_type"),
+            )
+        )
+        run.cache["answers"] = cut_lineage(answers(spark, sf))
+        run.cache["measures"] = cut_lineage(measures(spark, sf))
     return _RUNS[key]
 
 
@@ -115,6 +135,17 @@ for _name in (
     "stage5a_routing",
     "item_information",
     "external_topk",
+    "pairwise",
+    "answer_divergence",
+    "model_authorship",
+    "rm_style",
+    "specialisation",
+    "knapsack",
+    "hf_downloads",
+    "hf_context_length",
+    "hf_release_date",
+    "hf_architecture_family",
+    "hf_license_type",
 ):
     _register(_name)
 
@@ -154,3 +185,53 @@ def reasoning_tilt(spark, sf):
     return rounded(TK.tilt(b, F.col("bench").isin("ECONOMY", "LARGE")), "y")
 
 
+
+
+@query(
+    "mean_divergence",
+    f"""WITH {CELLS}, {ANSWERS}, u AS (SELECT model_id, question_id, list_transform(emb, lambda x: x / sqrt(list_dot_product(emb, emb))) AS e FROM answers)
+    SELECT a.model_id, round(1 - sum(list_dot_product(a.e, b.e)) / count(*), 6) AS y, count(*) AS n FROM u a JOIN u b ON a.question_id = b.question_id AND a.model_id <> b.model_id GROUP BY 1""",
+)
+def mean_divergence(spark, sf):
+    """A model's mean answer distance to all others, over the questions both answered."""
+    return rounded(TK.mean_divergence(answers(spark, sf)), "y")
+
+
+@query(
+    "pair_concordance",
+    f"""WITH {PRED}, s AS (SELECT model_id, bench, round(avg(acc), 2) AS t, round(avg(predicted), 2) AS p FROM pred GROUP BY ALL)
+    SELECT a.bench, count(*) FILTER (a.p > b.p) AS concordant, count(*) FILTER (a.p = b.p) AS tied, count(*) AS pairs,
+      round((count(*) FILTER (a.p > b.p) + 0.5::DOUBLE * count(*) FILTER (a.p = b.p)) / count(*), 6) AS accuracy
+    FROM s a JOIN s b ON a.bench = b.bench AND a.t > b.t GROUP BY 1""",
+)
+def pair_concordance(spark, sf):
+    """Per benchmark: the share of model pairs a prediction orders right, counted without listing pairs."""
+    s = predicted(spark, sf).groupBy("model_id", "bench").agg(F.round(F.avg("acc"), 2).alias("t"), F.round(F.avg("predicted"), 2).alias("p"))
+    return rounded(R.concordance(s, ["bench"], "t", "p"), "accuracy")
+
+
+def costs(spark, sf):
+    return T.models(spark, sf).filter("vram_gb IS NOT NULL").select("model_id", F.col("vram_gb").alias("gb"))
+
+
+@query("greedy_portfolio")
+def greedy_portfolio(spark, sf):
+    """The squad a greedy max-coverage walk picks under 24, 48, 80 and 160 GB, and its oracle-routed accuracy."""
+    cost = cut_lineage(costs(spark, sf))
+    rows = cut_lineage(T.cells(spark, sf).join(cost, "model_id", "left_semi").select("model_id", "question_id", F.col("acc").alias("a")))
+    n = rows.select("question_id").distinct().count()
+    out = []
+    for budget in (24.0, 48.0, 80.0, 160.0):
+        squad = PF.greedy(rows, cost, budget)
+        members = cost.filter(F.col("model_id").isin(squad)).select("model_id", "gb", F.lit(budget).alias("budget_gb"))
+        out.append(members.withColumn("value", F.lit(PF.coverage(rows, squad, n))))
+    df = out[0]
+    for d in out[1:]:
+        df = df.unionByName(d)
+    return rounded(df, "value", "gb")
+
+
+@query("random_squads")
+def random_squads(spark, sf):
+    """Twenty random affordable squads of at most four models."""
+    return rounded(PF.random_squads(costs(spark, sf), 48.0, 4, 20, 7), "gb")
