@@ -147,8 +147,8 @@ def components_for_share(df: DataFrame, vector: str, share: float = 0.95) -> int
 
 
 def block_widths(d: int, blocks: int) -> list[int]:
-    """The width split over blocks, the remainder to the first ones."""
-    return [d // blocks + (1 if i < d % blocks else 0) for i in range(blocks)]
+    """The width split evenly over the blocks, the remainder to the first one."""
+    return [d - (blocks - 1) * (d // blocks)] + [d // blocks] * (blocks - 1)
 
 
 def pls_svd(bits: DataFrame, text: DataFrame, widths: tuple[int, int], train: DataFrame) -> DataFrame:
