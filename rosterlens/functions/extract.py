@@ -71,10 +71,15 @@ def java(pattern: str) -> str:
     return "(?Ud)" + pattern
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def first_match(text: Column, pattern: str | Column, group: int = 1) -> Column:
     """First match's group; NULL without a match (no group here can match the empty string)."""
     p = F.lit(java(pattern)) if isinstance(pattern, str) else pattern
-    return F.nullif(F.call_function("regexp_extract", text, p, F.lit(group)), F.lit(""))
+    return bind(F.call_function("regexp_extract", text, p, F.lit(group)), lambda x: F.when(x != "", x))
 
 
 def last_match(text: Column, pattern: str | Column, group: int) -> Column:
@@ -82,26 +87,44 @@ def last_match(text: Column, pattern: str | Column, group: int) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, p, F.lit(group)), F.lit(-1))
 
 
+#: Every character that counts as whitespace.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
     """Trim all leading and trailing whitespace, line breaks included."""
-    return F.regexp_replace(text, java(r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"), "")
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def _where(text: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """``change(text)`` where the text holds ``mark``; a plain search spares the others the pattern."""
+    return bind(text, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
 
 
 def strip_special_tokens(text: Column) -> Column:
-    return strip(F.regexp_replace(text, java(SPECIAL_TOKEN), ""))
+    return strip(_where(text, "<|", lambda t: F.regexp_replace(t, SPECIAL_TOKEN, "")))
 
 
 def after_think(text: Column) -> Column:
     """The part after the last think marker, or the whole text when that part is blank."""
-    tail = F.try_element_at(F.split(text, java(THINK_END), -1), F.lit(-1))
-    return F.when(strip(tail) == "", text).otherwise(tail)
+    def tail(t: Column) -> Column:
+        last = F.try_element_at(F.split(t, THINK_END, -1), F.lit(-1))
+        return bind(last, lambda x: F.when(strip(x) == "", t).otherwise(x))
+
+    return _where(text, "</", tail)
 
 
 def unwrap_latex(text: Column) -> Column:
     """Peels up to three layers of text-style wrappers."""
-    for _ in range(3):
-        text = F.regexp_replace(text, java(LATEX_WRAP), "$1")
-    return text
+    def peel(t: Column) -> Column:
+        for _ in range(3):
+            t = F.regexp_replace(t, java(LATEX_WRAP), "$1")
+        return t
+
+    return _where(text, "\\", peel)
 
 
 @dataclass(frozen=True)
@@ -115,19 +138,26 @@ class Text:
     boxed: Column
 
 
-def stage(df: DataFrame, text: Column, prefix: str) -> tuple[DataFrame, Text]:
-    """Adds the forms of ``text`` to ``df`` as ``<prefix>_*`` columns."""
-    p = prefix
+def stage(df: DataFrame, text: Column, prefix: str, like: Text | None = None) -> tuple[DataFrame, Text]:
+    """Adds the forms of ``text`` to ``df`` as ``<prefix>_*`` columns.
+
+    Where the text equals ``like``'s text its forms are taken over.
+    """
+    p, raw = prefix, F.col(f"{prefix}_raw")
+
+    def form(new: Column, old: Column | None) -> Column:
+        return new if like is None else F.when(raw == like.raw, old).otherwise(new)
+
     out = (
         df.withColumn(f"{p}_raw", F.coalesce(text, F.lit("")))
         .withColumns(
             {
-                f"{p}_trim": strip(F.col(f"{p}_raw")),
-                f"{p}_unw": unwrap_latex(F.col(f"{p}_raw")),
-                f"{p}_box": boxed(F.col(f"{p}_raw")),
+                f"{p}_trim": form(strip(raw), like and like.trimmed),
+                f"{p}_unw": form(unwrap_latex(raw), like and like.unwrapped),
+                f"{p}_box": form(boxed(raw), like and like.boxed),
             }
         )
-        .withColumn(f"{p}_unwt", strip(F.col(f"{p}_unw")))
+        .withColumn(f"{p}_unwt", form(strip(F.col(f"{p}_unw")), like and like.unwrapped_trimmed))
     )
     return out, Text(*[F.col(f"{p}_{x}") for x in ("raw", "trim", "unw", "unwt", "box")])
 

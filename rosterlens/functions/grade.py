@@ -19,32 +19,37 @@ def _drop(text: Column, *tokens: str) -> Column:
 
 
 def _outer_braces(s: Column) -> Column:
-    return F.when(s.startswith("{") & s.endswith("}"), F.substr(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    """Without one pair of braces around the whole."""
+    return X.bind(s, lambda t: F.when(t.startswith("{") & t.endswith("}"), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t))
 
 
 def _one_space(s: Column) -> Column:
-    return F.regexp_replace(s, r"\s+", " ")
+    """Runs of whitespace as one space."""
+    return F.regexp_replace(s, f"[{X.WHITESPACE}]+", " ")
 
 
 def _plain(text: Column) -> Column:
     """Wrappers, sizing and spacing commands, dollars and bold marks removed."""
-    s = _drop(X.unwrap_latex(text), "\\left", "\\right", "\\!", "\\,")
-    return _drop(F.replace(s, F.lit("\\ "), F.lit(" ")), "$", "**")
+    s = F.replace(_drop(X.unwrap_latex(text), "\\left", "\\right", "\\!", "\\,"), F.lit("\\ "), F.lit(" "))
+    return _drop(s, "$", "**")
+
+
+def _unit_dropped(s: Column) -> Column:
+    """Without a trailing parenthesised unit."""
+    pattern = X.java(r"\s*\([^)]*\)\s*\z")
+    return X.bind(s, lambda t: F.when(t.endswith(")"), X.strip(F.regexp_replace(t, pattern, ""))).otherwise(t))
 
 
 def normal_free(text: Column) -> Column:
-    s = X.strip(F.regexp_replace(X.strip(_plain(text)), "^[\"'`]+|[\"'`]+\\z", ""))
-    s = X.strip(F.regexp_replace(s, r"\.+\z", ""))
-    s = F.when(s.startswith("{") & s.endswith("}"), X.strip(_outer_braces(s))).otherwise(s)
-    s = X.strip(F.regexp_replace(s, r"\s*\([^)]*\)\s*$", ""))
-    return _one_space(F.lower(s))
+    s = X.strip(F.btrim(X.strip(_plain(text)), F.lit("\"'`")))
+    s = X.strip(_outer_braces(X.strip(F.rtrim(s, F.lit(".")))))
+    return _one_space(F.lower(_unit_dropped(s)))
 
 
 def normal_bbh(text: Column) -> Column:
-    s = F.regexp_replace(X.strip(_plain(text)), "^[\"'` ]+|[\"'` ]+\\z", "")
-    s = X.strip(F.regexp_replace(X.strip(s), r"\.+\z", ""))
-    s = F.when(s.startswith("{") & s.endswith("}"), X.strip(_outer_braces(s))).otherwise(s)
-    return _one_space(F.lower(X.strip(s)))
+    s = F.btrim(X.strip(_plain(text)), F.lit("\"'` "))
+    s = X.strip(F.rtrim(X.strip(s), F.lit(".")))
+    return _one_space(F.lower(X.strip(_outer_braces(s))))
 
 
 def normal_math(text: Column) -> Column:
@@ -52,7 +57,7 @@ def normal_math(text: Column) -> Column:
     s = _drop(s, "\\left", "\\right", "\\!", "\\,", "\\ ")
     s = F.replace(F.replace(s, F.lit("\\dfrac"), F.lit("\\frac")), F.lit("\\tfrac"), F.lit("\\frac"))
     s = _drop(s, " ", "$", "\\%", "%")
-    return _outer_braces(F.regexp_replace(s, r"\.+\z", ""))
+    return _outer_braces(F.rtrim(s, F.lit(".")))
 
 
 #: What counts as a number when two answers are compared.
@@ -61,8 +66,7 @@ FLOAT = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 def number(text: Column) -> Column:
     """The text as a double, NULL when it is not one."""
-    t = X.strip(text)
-    return F.when(F.regexp(t, F.lit(FLOAT)), t.try_cast("double"))
+    return X.bind(X.strip(text), lambda t: F.when(F.regexp(t, F.lit(FLOAT)), t.try_cast("double")))
 
 
 def free_match(predicted: Column, gold: Column) -> Column:
@@ -106,7 +110,7 @@ def grade_responses(
     """
     a, b, g = F.col(adapter), F.col(bench), F.col(gold)
     out, t = X.stage(df, X.strip_special_tokens(F.col(text)), "__t")
-    out, tail = X.stage(out, X.after_think(t.raw), "__k")
+    out, tail = X.stage(out, X.after_think(t.raw), "__k", t)
     legacy = a == "legacy"
 
     def read_mcq(x: X.Text) -> Column:

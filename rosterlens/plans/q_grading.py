@@ -100,7 +100,7 @@ FORMS = f"""{RESPONSES}, f0 AS (SELECT *, {s_special('prediction')} AS t FROM re
 
 def staged(spark, sf):
     df, t = X.stage(T.responses(spark, sf), X.strip_special_tokens(F.col("prediction")), "t")
-    df, k = X.stage(df, X.after_think(t.raw), "k")
+    df, k = X.stage(df, X.after_think(t.raw), "k", t)
     return df, t, k
 
 
@@ -182,7 +182,7 @@ def extract_code(spark, sf):
     )
     text = F.concat(F.lit("Plan.\n```python\n"), F.col("prediction"), F.lit("\n```"), tail)
     df, t = X.stage(T.responses(spark, sf), text, "t")
-    df, k = X.stage(df, X.after_think(t.raw), "k")
+    df, k = X.stage(df, X.after_think(t.raw), "k", t)
     return df.select(*KEY, X.code(t, k).alias("answer"))
 
 

@@ -28,7 +28,7 @@ def essays(spark, sf):
         .when(d % 11 == 4, F.concat(F.lit('```json\n{"a": '), d.cast("string"), F.lit(', "b": [1, null]}\n```')))
         .otherwise(F.col("text"))
     )
-    return T.table(spark, sf, "documents").select("doc_id", "lang", "source", text.alias("text"))
+    return T.documents(spark, sf).select("doc_id", "lang", "source", text.alias("text"))
 
 
 ESSAYS = f"""essays AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN {q(HEAD)} || text || {q(FOOT)}

@@ -364,7 +364,7 @@ def random_fingerprint(spark, sf):
 @query("hashed_text")
 def hashed_text(spark, sf):
     """Hashed word and bigram embedding of every whole document."""
-    out = E.hashed_text(T.table(spark, sf, "documents").select("doc_id", "text"), "text", 32)
+    out = E.hashed_text(T.documents(spark, sf).select("doc_id", "text"), "text", 32)
     return rounded_vec(out.select("doc_id", "emb"), "emb", 4)
 
 

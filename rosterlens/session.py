@@ -34,3 +34,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         )
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rosterlens-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of few pieces to all cores before expensive per-row work.
+
+    A table of many files already has more pieces than cores and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.functions.draws import keyed_hash
+from rosterlens.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,7 +94,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """responses(order_id, line_no, model_id, part_id, prediction, gold_letter, gold_number)."""
     letter = F.char(F.lit(65) + F.col("l_partkey") % 4)
     number = F.col("l_partkey").cast("string")
-    return table(spark, sf_dir, "lineitem").select(
+    keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    return spread(keys).select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_suppkey").alias("model_id"),
@@ -104,6 +106,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents(doc_id, text, lang, source), spread over the cores for work on whole texts."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vectors(vec_id, emb, label)."""
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("emb"), "label")
