@@ -7,13 +7,16 @@ whose input is absent becomes a note row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions import ranks as R
+from rosterlens.functions.draws import hash_position, keyed_hash
 from rosterlens.operators.heads import oof_logistic, oof_ridge
 from rosterlens.operators.splits import grouped_folds, k_folds, permutations
 from rosterlens.session import cut_lineage
@@ -87,13 +90,38 @@ def absent(bench: Bench, primary: str, note: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- heads over targets
-def wide_target(long: DataFrame, key: str, value: str, axis: list) -> DataFrame:
-    """(model_id, y array): one target per entry of ``axis``; a missing one is 0."""
-    got = long.groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("m"))
-    return got.select(
-        "model_id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(a)), F.lit(0.0)) for a in axis]).alias("y")
+def wide_target(long: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """((model_id, y array), axis(pos, key)): one target per value of ``key``; a missing one is 0.
+
+    Targets are numbered by a hashed order. Each task scatters its models' values into arrays, so
+    the axis is neither collected nor spelled out in the plan.
+    """
+    axis = cut_lineage(
+        hash_position(long.select(key).distinct().withColumn("__h", keyed_hash(0, "axis", F.col(key))), [], "__h", key).select("pos", key)
+    )
+    n = axis.agg(F.count(F.lit(1))).scalar()
+    got = (
+        long.join(axis, key).groupBy("model_id").agg(F.collect_list(F.struct("pos", F.col(value).cast("double").alias("v"))).alias("c"))
+        .select("model_id", F.col("c.pos").alias("pos"), F.col("c.v").alias("v")).withColumn("n", n)
     )
 
+    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out = []
+            for pos, v, size in zip(p["pos"], p["v"], p["n"]):
+                y = np.zeros(size)
+                y[np.asarray(pos) - 1] = v
+                out.append(y)
+            yield pd.DataFrame({"model_id": p["model_id"], "y": out})
+
+    return got.mapInPandas(scatter, f"model_id {dict(long.dtypes)['model_id']}, y array<double>"), axis
+
+
+def long_prediction(out: DataFrame, axis: DataFrame, key: str) -> DataFrame:
+    """(model_id, key, predicted) of an out-of-fold result with one target per axis entry."""
+    flat = out.select("model_id", F.posexplode("predicted").alias("p", "predicted")).withColumn("pos", F.col("p") + 1)
+    return flat.join(axis, "pos").select("model_id", key, "predicted")
+
 
 def rows_for(bench: Bench, targets: DataFrame, folds: DataFrame | None = None) -> DataFrame:
     plan = bench.fold_plan() if folds is None else folds
@@ -105,13 +133,8 @@ def rows_for(bench: Bench, targets: DataFrame, folds: DataFrame | None = None) -
 
 
 def decode_cells(bench: Bench) -> DataFrame:
-    axis = [r[0] for r in bench.cells.select("question_id").distinct().orderBy("question_id").collect()]
-    y = wide_target(bench.cells, "question_id", "acc", axis)
-    out = oof_ridge(rows_for(bench, y))
-    names = F.array(*[F.lit(a) for a in axis])
-    return out.select("model_id", F.explode(F.arrays_zip(names.alias("question_id"), F.col("predicted").alias("predicted"))).alias("c")).select(
-        "model_id", "c.question_id", "c.predicted"
-    )
+    y, axis = wide_target(bench.cells, "question_id", "acc")
+    return long_prediction(oof_ridge(rows_for(bench, y)), axis, "question_id")
 
 
 def permuted_targets(y: DataFrame, draws: int, seed: int) -> DataFrame:
@@ -195,10 +218,9 @@ def ranking(b: Bench) -> DataFrame:
     s = b.benchmark_scores()
     tot = s.groupBy("model_id").agg(F.sum("score").alias("t"), F.count(F.lit(1)).alias("k"))
     rest = s.join(tot, "model_id").withColumn("rest", (F.col("t") - F.col("score")) / (F.col("k") - 1))
-    axis = [r[0] for r in s.select("bench").distinct().orderBy("bench").collect()]
-    if len(axis) < 2:
+    if s.select("bench").distinct().count() < 2:
         return absent(b, "ndcg", "one benchmark: nothing is held out")
-    scored = _per_benchmark(b, rest, "rest", axis).join(s, ["model_id", "bench"])
+    scored = _per_benchmark(b, rest, "rest").join(s, ["model_id", "bench"])
     nd = R.ndcg(scored, ["bench"], "score", "predicted", "model_id", 10)
     rho = R.spearman(scored, ["bench"], "score", "predicted")
     return nd.join(rho, "bench").agg(
@@ -206,22 +228,17 @@ def ranking(b: Bench) -> DataFrame:
     )
 
 
-def _per_benchmark(b: Bench, long: DataFrame, value: str, axis: list[str]) -> DataFrame:
-    out = oof_ridge(rows_for(b, wide_target(long, "bench", value, axis)), per_target=True)
-    names = F.array(*[F.lit(a) for a in axis])
-    return cut_lineage(
-        out.select("model_id", F.explode(F.arrays_zip(names.alias("bench"), F.col("predicted").alias("p"))).alias("c")).select(
-            "model_id", "c.bench", F.round("c.p", 12).alias("predicted")
-        )
-    )
+def _per_benchmark(b: Bench, long: DataFrame, value: str) -> DataFrame:
+    y, axis = wide_target(long, "bench", value)
+    out = long_prediction(oof_ridge(rows_for(b, y), per_target=True), axis, "bench")
+    return cut_lineage(out.withColumn("predicted", F.round("predicted", 12)))
 
 
 @task("cross_benchmark", "spearman", "structural")
 def cross_benchmark(b: Bench) -> DataFrame:
     """Every benchmark's score from the embedding: Spearman and RMSE per benchmark, averaged."""
     s = b.benchmark_scores()
-    axis = [r[0] for r in s.select("bench").distinct().orderBy("bench").collect()]
-    scored = _per_benchmark(b, s, "score", axis).join(s, ["model_id", "bench"])
+    scored = _per_benchmark(b, s, "score").join(s, ["model_id", "bench"])
     rho = R.spearman(scored, ["bench"], "score", "predicted")
     rmse = scored.groupBy("bench").agg(F.sqrt(F.avg(F.pow(F.col("score") - F.col("predicted"), F.lit(2.0)))).alias("rmse"))
     return rho.join(rmse, "bench").agg(
@@ -355,8 +372,7 @@ def pairwise(b: Bench) -> DataFrame:
     """
     s = b.benchmark_scores().withColumn("score", F.round("score", 12))
     ranked = R.mid_rank(s, ["bench"], "score", "rank")
-    axis = [r[0] for r in s.select("bench").distinct().orderBy("bench").collect()]
-    scored = _per_benchmark(b, ranked, "rank", axis).join(s, ["model_id", "bench"]).join(b.fold_plan(), "model_id")
+    scored = _per_benchmark(b, ranked, "rank").join(s, ["model_id", "bench"]).join(b.fold_plan(), "model_id")
     won = R.concordance(cut_lineage(scored), ["bench", "fold"], "score", "predicted")
     per = won.groupBy("bench").agg((F.sum(F.col("concordant") + F.col("tied") / 2) / F.sum("pairs")).alias("a"), F.sum("pairs").alias("n"))
     return per.agg(F.avg("a").alias("accuracy"), F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_benchmarks"))
@@ -397,8 +413,7 @@ def model_authorship(b: Bench) -> DataFrame:
     from rosterlens.operators.neighbours import nearest_between
 
     s = b.benchmark_scores()
-    axis = [r[0] for r in s.select("bench").distinct().orderBy("bench").collect()]
-    y = wide_target(s, "bench", "score", axis)
+    y, _ = wide_target(s, "bench", "score")
     z = cut_lineage(zscore(y, "y", F.lit(True), "z").select("model_id", F.col("z").alias("y")))
     out = oof_ridge(rows_for(b, z))
     near = nearest_between(out.select("model_id", F.col("predicted").alias("emb")), z.select("model_id", F.col("y").alias("emb")), 1)
