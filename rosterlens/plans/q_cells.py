@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterlens.operators import cells as C
 from rosterlens.operators import gates as G
 from rosterlens.plans.common_sql import CELLS, DRAWS, MODELS, QUESTIONS
-from rosterlens.plans.registry import query
+from rosterlens.plans.registry import SETTLE, query
 from rosterlens.sources import tables as T
 
 COVER = (
@@ -28,7 +28,11 @@ COVER = (
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Doubles rounded for comparison; summation order differs between engines in the last bits."""
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: near(n, digits) for n in names})
+
+
+def near(x, digits: int = 6):
+    return F.round(F.round(x, digits + SETTLE), digits)
 
 
 def coverage(spark, sf):
@@ -217,7 +221,7 @@ def benchmark_matrix(spark, sf):
     """Model by benchmark matrix of mean accuracies; the benchmark names are part of the query."""
     names = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     wide = T.cells(spark, sf).groupBy("model_id").pivot("bench", names).agg(F.avg("acc"))
-    return wide.select("model_id", *[F.round(n, 6).alias(n.lower()) for n in names])
+    return wide.select("model_id", *[near(n).alias(n.lower()) for n in names])
 
 
 @query(

@@ -8,6 +8,7 @@ from rosterlens.functions import extract as X
 from rosterlens.functions import grade as G
 from rosterlens.operators.routing import BENCH_ADAPTER, resolve
 from rosterlens.plans.common_sql import RESPONSES, sql_literal
+from rosterlens.plans.q_cells import near
 from rosterlens.plans.registry import query
 from rosterlens.sources import tables as T
 
@@ -361,7 +362,7 @@ def grade_answers(spark, sf):
 )
 def graded_accuracy(spark, sf):
     out = graded(spark, sf).groupBy("model_id", "bench").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("graded").cast("int")), 6).alias("accuracy")
+        F.count(F.lit(1)).alias("n"), near(F.avg(F.col("graded").cast("int"))).alias("accuracy")
     )
     return out
 

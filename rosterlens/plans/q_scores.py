@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.operators import scores as S
 from rosterlens.plans.common_sql import CELLS, h
-from rosterlens.plans.q_cells import rounded
+from rosterlens.plans.q_cells import near, rounded
 from rosterlens.plans.registry import query
 from rosterlens.sources import tables as T
 
@@ -312,7 +312,7 @@ def arm_log(spark, sf):
 def method_task_matrix(spark, sf):
     """Task by method matrix of pooled means, complete tasks only."""
     r = results(spark, sf).filter("NOT diagnostic")
-    wide = r.groupBy("task").pivot("method", list(DIMS)).agg(F.round(F.avg("value"), 6))
+    wide = r.groupBy("task").pivot("method", list(DIMS)).agg(near(F.avg("value")))
     return wide.dropna(subset=list(DIMS))
 
 

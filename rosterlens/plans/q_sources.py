@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rosterlens.operators import splits as P
 from rosterlens.plans.common_sql import CELLS, DRAWS, MODELS, RESPONSES
-from rosterlens.plans.q_cells import rounded
+from rosterlens.plans.q_cells import near, rounded
 from rosterlens.plans.q_splits import BLOCKS, FOLDS, blocks
 from rosterlens.plans.q_stream import scratch
 from rosterlens.plans.registry import query
@@ -66,7 +66,7 @@ def blocks_roundtrip(spark, sf):
 def csv_sink(spark, sf):
     """A score table through CSV: every value comes back as the text that was written."""
     folder = scratch(spark) + "/csv"
-    out = T.cells(spark, sf).groupBy("bench").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("acc"), 6).alias("score"))
+    out = T.cells(spark, sf).groupBy("bench").agg(F.count(F.lit(1)).alias("n"), near(F.avg("acc")).alias("score"))
     S.write_csv(out, folder)
     return spark.read.schema("bench string, n string, score string").option("header", "true").csv(folder)
 

@@ -14,7 +14,7 @@ from rosterlens.operators import neighbours as N
 from rosterlens.operators import pairs as PR
 from rosterlens.operators import splits as P
 from rosterlens.plans.common_sql import CELLS, MODELS, QUESTIONS, h
-from rosterlens.plans.q_cells import rounded
+from rosterlens.plans.q_cells import near, rounded
 from rosterlens.plans.q_splits import FOLDS, MIDRANK, AUC, blocks
 from rosterlens.plans.registry import query
 from rosterlens.sources import tables as T
@@ -32,7 +32,7 @@ def rvec(expr: str, digits: int = 6) -> str:
 
 
 def rounded_vec(df, name, digits=6):
-    return df.withColumn(name, F.transform(name, lambda x: F.round(x.cast("double"), digits)))
+    return df.withColumn(name, F.transform(name, lambda x: near(x.cast("double"), digits)))
 
 
 def answers(spark, sf):
@@ -204,11 +204,12 @@ def identical_models(spark, sf):
 # ------------------------------------------------ preference pairs
 PAIRS = f"""pq AS (SELECT question_id, sum(correct)::BIGINT AS r, sum(1 - correct)::BIGINT AS l FROM cells GROUP BY 1),
   pw AS (SELECT *, (r * l)::DOUBLE AS w FROM pq WHERE r * l > 0), pc AS (SELECT *, sum(w) OVER (ORDER BY {h("'7'", "'pair-q'", 'question_id')}, question_id) AS cum, (SELECT sum(w) FROM pw) AS total FROM pw),
-  pd AS (SELECT question_id, r, l, unnest(range((floor(cum / total * {{n}}) - floor((cum - w) / total * {{n}}))::BIGINT)) AS i FROM pc),
+  pe AS (SELECT *, total <= {{n}} AS every FROM pc),
+  pd AS (SELECT question_id, r, l, every, unnest(range(CASE WHEN every THEN w ELSE floor(cum / total * {{n}}) - floor((cum - w) / total * {{n}}) END::BIGINT)) AS i FROM pe),
   pp AS (SELECT question_id, correct, model_id, row_number() OVER (PARTITION BY question_id, correct ORDER BY {h("'7'", "'pair-m'", 'question_id', 'model_id')}, model_id) AS pos FROM cells),
   pairs AS (SELECT d.question_id, d.i, a.model_id AS winner, b.model_id AS loser FROM pd d
-    JOIN pp a ON a.question_id = d.question_id AND a.correct = 1 AND a.pos = {h("'7'", "'pair-win'", 'd.question_id', 'i')} % r + 1
-    JOIN pp b ON b.question_id = d.question_id AND b.correct = 0 AND b.pos = {h("'7'", "'pair-lose'", 'd.question_id', 'i')} % l + 1)"""
+    JOIN pp a ON a.question_id = d.question_id AND a.correct = 1 AND a.pos = CASE WHEN every THEN i // l ELSE {h("'7'", "'pair-win'", 'd.question_id', 'i')} % r END + 1
+    JOIN pp b ON b.question_id = d.question_id AND b.correct = 0 AND b.pos = CASE WHEN every THEN i % l ELSE {h("'7'", "'pair-lose'", 'd.question_id', 'i')} % l END + 1)"""
 
 
 @query("preference_pairs", f"WITH {CELLS}, {PAIRS.format(n=20000)} SELECT question_id, i, winner, loser FROM pairs")
