@@ -289,3 +289,22 @@ def hashed_text(texts: DataFrame, text: str, width: int, seed: int = 0, buckets:
 
 def unit_rows(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, unit(vector))
+
+
+def latent_factors(cells: DataFrame, rank: int, seed: int = 0, value: str = "correct") -> DataFrame:
+    """embedding(model_id, vec): factors of the model x question table by alternating least squares."""
+    from pyspark.ml.recommendation import ALS
+
+    from rosterlens.functions.draws import hash_position, keyed_hash
+
+    def numbered(key: str, out: str) -> DataFrame:
+        axis = cells.select(key).distinct().withColumn("__h", keyed_hash(seed, "als", F.col(key)))
+        placed = hash_position(axis, [], "__h", key, out).select(key, F.col(out).cast("int").alias(out))
+        return cut_lineage(placed)
+
+    users, items = numbered("model_id", "u"), numbered("question_id", "i")
+    rows = cut_lineage(cells.join(users, "model_id").join(items, "question_id").select("u", "i", F.col(value).cast("float").alias("r")))
+    fit = ALS(rank=rank, userCol="u", itemCol="i", ratingCol="r", seed=seed, regParam=0.1, maxIter=8).fit(rows)
+    return fit.userFactors.join(users, F.col("id") == F.col("u")).select(
+        "model_id", F.col("features").cast("array<double>").alias("vec")
+    )

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions import ranks as R
 from rosterlens.functions import scalars as X
+from rosterlens.operators import embed as E
 from rosterlens.operators import heads as H
 from rosterlens.operators import irt as I
 from rosterlens.operators import portfolio as PF
 from rosterlens.operators import selection as K
 from rosterlens.operators import tasks as TK
 from rosterlens.operators.labels import labels_long
+from rosterlens.plans import run as RUN
 from rosterlens.plans.common_sql import CELLS
 from rosterlens.plans.q_cells import rounded
 from rosterlens.plans.q_labels import aliases, boards, cards, measures
 from rosterlens.plans.q_splits import PRED, blocks, predicted
-from rosterlens.plans.q_vectors import ANSWERS, answers, fused, rounded_vec, train_models
+from rosterlens.plans.q_vectors import ANSWERS, answers, fused, pooled, rounded_vec, train_models
 from rosterlens.plans.registry import query
 from rosterlens.session import cut_lineage
 from rosterlens.sources import tables as T
@@ -235,3 +237,22 @@ def greedy_portfolio(spark, sf):
 def random_squads(spark, sf):
     """Twenty random affordable squads of at most four models."""
     return rounded(PF.random_squads(costs(spark, sf), 48.0, 4, 20, 7), "gb")
+
+
+@query("latent_factors")
+def latent_factors(spark, sf):
+    """Latent factors of the correctness table."""
+    return rounded_vec(E.latent_factors(T.cells(spark, sf), 4, 7), "vec", 3)
+
+
+@query("evaluate_arms")
+def evaluate_arms(spark, sf):
+    """Three arms fitted on the pool and tune blocks, scored on eval, each against the random floor of its width."""
+    b = bench(spark, sf)
+    cells = T.cells(spark, sf)
+    fit = cut_lineage(cells.join(blocks(spark, sf).filter("block <> 'eval'"), "question_id", "left_semi"))
+    RUN.check_no_leak(fit, b.cells)
+    fitted = RUN.fit_arms(fit, pooled(spark, sf), train_models(spark, sf), b.models, 8, 7)
+    names = RUN.select_tasks(["score_regression", "cross_benchmark", "stage5a_routing"])
+    out = RUN.score_arms(b, fitted, names, 8).select("method", "task", "s", "floor_arm", "floor_s", "s_over_floor")
+    return metrics(out)
