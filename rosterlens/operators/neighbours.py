@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rosterlens.functions.draws import keyed_hash
 from rosterlens.functions.ranks import top_by
 from rosterlens.functions.vectors import unit
+from rosterlens.session import cut_lineage
 
 #: Rows of one side of a block; a task compares at most this many rows with as many others.
 BLOCK_ROWS = 2048
@@ -28,6 +29,8 @@ def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """
     if metric not in ("cosine", "euclidean", "euclidean_z"):
         raise ValueError(f"unknown metric {metric!r}")
+    # read three times below: the block count and both sides
+    vectors = cut_lineage(vectors.select("model_id", "emb"))
     if metric == "cosine":
         ready = vectors.select("model_id", unit("emb", EPS).alias("emb"))
     elif metric == "euclidean":
@@ -116,7 +119,7 @@ def neighbour_predict(near: DataFrame, cells: DataFrame, value: str = "acc", met
 
     An uncollected cell of a neighbour counts as 0, so the divisor is the whole weight.
     """
-    w = neighbour_weights(near, metric)
+    w = cut_lineage(neighbour_weights(cut_lineage(near), metric))
     total = w.groupBy("model_id").agg(F.sum("w").alias("tw"))
     part = (
         w.select("model_id", F.col("other").alias("o"), "w")

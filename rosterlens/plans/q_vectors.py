@@ -260,7 +260,7 @@ def correctness_forecasting(spark, sf):
     x = T.cells(spark, sf).join(neighbour_rows(spark, sf), ["model_id", "question_id"], "left").withColumn(
         "p", F.round(F.coalesce("predicted", F.lit(0.0)), 9)
     )
-    a = R.auroc(x, ["question_id"], "acc", "p")
+    a = R.auroc(E.cut_lineage(x.select("question_id", "acc", "p")), ["question_id"], "acc", "p")
     return rounded(
         a.agg(
             F.avg("auroc").alias("auroc_mean"), F.count("auroc").alias("n_questions"),
