@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,21 +22,44 @@ def local_session(cpus: str | int = "*", app: str = "rosterlens") -> SparkSessio
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is configured
-    (local tests) is a temporary one set.
+    Only a session on one machine (tests, the bench) gets a temporary folder where none is set; on a
+    cluster a missing setting is an error, because executors would write to their own disks.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="rosterlens-")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rosterlens-ckpt-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to a new folder of its own in the shared folder and read it back.
+
+    The folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.option("compression", codec).parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few pieces to all cores before expensive per-row work.
 
