@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rosterlens.llm import neardup
+from rosterlens.llm import bitplanes, bpe, langid, neardup
+from rosterlens.session import drop_at_end, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +28,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out")
+    )
+    docs = docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    protos = langid.prototypes(docs.where("not held_out"))
+    return langid.identify(docs, protos, ["doc_id", "held_out"])
+
+
+def tokenizer(spark: SparkSession):
+    """The 49k word-end vocabulary's file, as a broadcast."""
+    import public_tokenizers
+
+    return bpe.load(spark, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by backtracking, and the text they decode to."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer(spark), ["doc_id"])
+
+
+@query
+def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to plane files and read back."""
+    path = f"{shared_folder(spark)}/planes-{uuid.uuid4().hex}"
+    bitplanes.write_ids(table(spark, sf_dir, "documents"), path, tokenizer(spark))
+    drop_at_end(spark, path)
+    return bitplanes.read_documents(spark, path)
