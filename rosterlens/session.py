@@ -45,6 +45,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete a folder that exists when the application ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to a new folder of its own in the shared folder and read it back.
 
@@ -54,9 +60,7 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    drop_at_end(spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
