@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bitplanes, bpe, langid, neardup
-from rosterlens.session import drop_at_end, shared_folder
+from rosterlens.llm import bands, bitplanes, bpe, decontaminate, importance, langid, neardup
+from rosterlens.session import drop_at_end, shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,31 @@ def op7_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bitplanes.write_ids(table(spark, sf_dir, "documents"), path, tokenizer(spark))
     drop_at_end(spark, path)
     return bitplanes.read_documents(spark, path)
+
+
+@query
+def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the compression verdict of every document."""
+    return bands.judged(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def sampled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, log_weight, key and kept of every document; the target is labelled good."""
+    good = importance.bounded_target(labels.where("quality = 1").select("doc_id"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
+    ratios = importance.log_ratios(marked)
+    weights = staged(importance.weighted(marked, ratios, ["doc_id", "target"]))
+    k = importance.room(weights)
+    return importance.resampled(weights, k).select("doc_id", "n_features", "log_weight", "key", "kept")
+
+
+@query
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's importance weight, and which a Gumbel top-k keeps."""
+    return sampled_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a document holds a benchmark item."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
