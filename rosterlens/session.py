@@ -54,14 +54,23 @@ def drop_at_end(spark: SparkSession, path: str) -> None:
 def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to a new folder of its own in the shared folder and read it back.
 
-    The folder goes when the application ends.
+    The folder goes when the application ends, or with ``unstaged``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", codec).parquet(path)
     drop_at_end(spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstaged(df: DataFrame) -> None:
+    """Delete the folder of a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
