@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bands, bitplanes, bpe, decontaminate, importance, langid, neardup
+from rosterlens.llm import bands, bitplanes, bpe, decontaminate, importance, langid, lm, neardup
 from rosterlens.session import drop_at_end, shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,11 @@ def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every place where a document holds a benchmark item."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under a bigram model of six sevenths of them, and under add-one word counts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", lm.held_out("doc_id", 7).alias("held_out"))
+    model = lm.train(docs.where("not held_out"))
+    return lm.score(docs, model, ["doc_id", "held_out"])
