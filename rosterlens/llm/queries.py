@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bands, bitplanes, bpe, decontaminate, importance, langid, lm, neardup
+from rosterlens.llm import bands, bitplanes, bpe, decontaminate, importance, langid, licenses, lm, neardup
 from rosterlens.session import drop_at_end, shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,16 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", lm.held_out("doc_id", 7).alias("held_out"))
     model = lm.train(docs.where("not held_out"))
     return lm.score(docs, model, ["doc_id", "held_out"])
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files: a folder for each source, in it one for 1,000 and one for 50 neighbouring ids."""
+    part = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), part(1000), part(50), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence: its own, or that of the nearest folder above."""
+    return licenses.licenses(document_files(table(spark, sf_dir, "documents")), ["doc_id"])
