@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bands, bitplanes, bpe, decontaminate, importance, langid, licenses, lm, neardup
+from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, neardup
 from rosterlens.session import drop_at_end, shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,11 @@ def document_files(docs: DataFrame) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's licence: its own, or that of the nearest folder above."""
     return licenses.licenses(document_files(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
+@query
+def op6_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns recovered from the raw transcripts of all conversations."""
+    raw = chat.as_transcript(table(spark, sf_dir, "conversations"))
+    model = chat.fit(chat.labelled_lines(raw))
+    return chat.parsed(raw.drop("role"), model)
