@@ -120,6 +120,5 @@ def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     columns are ignored. A document is judged alone, so nothing is shuffled.
     """
     kinds = ["long"] * 5 + ["double"] * 2 + ["boolean"] * 2
-    schema = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    schema += [f"{n} {k}" for n, k in zip(_MEASURES, kinds, strict=True)]
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(_run, ", ".join(schema))
+    schema = W.with_columns(docs, keep, ", ".join(f"{n} {k}" for n, k in zip(_MEASURES, kinds, strict=True)))
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(_run, schema)

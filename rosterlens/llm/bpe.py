@@ -277,10 +277,6 @@ def _others(batch: pa.RecordBatch) -> tuple[list, list]:
     return [batch.column(c) for c in names], names
 
 
-def _schema(docs: DataFrame, keep: list[str], more: str) -> str:
-    return ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), more])
-
-
 def encoded(docs: DataFrame, spec, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ids (array<int>) of its text."""
 
@@ -294,7 +290,7 @@ def encoded(docs: DataFrame, spec, keep: list[str]) -> DataFrame:
             flat = pa.array(np.concatenate(ids).view(np.int32))
             yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), flat)], [*names, "ids"])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, _schema(docs, keep, "ids array<int>"))
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, W.with_columns(docs, keep, "ids array<int>"))
 
 
 def decoded(table: DataFrame, spec, keep: list[str]) -> DataFrame:
@@ -308,7 +304,7 @@ def decoded(table: DataFrame, spec, keep: list[str]) -> DataFrame:
             names = [c for c in batch.schema.names if c != "ids"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], [*names, "text"])
 
-    return table.select(*keep, "ids").mapInArrow(run, _schema(table, keep, "text string"))
+    return table.select(*keep, "ids").mapInArrow(run, W.with_columns(table, keep, "text string"))
 
 
 def round_trip(docs: DataFrame, spec, keep: list[str]) -> DataFrame:
@@ -336,5 +332,5 @@ def round_trip(docs: DataFrame, spec, keep: list[str]) -> DataFrame:
             )
 
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(
-        run, _schema(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, W.with_columns(docs, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     )

@@ -92,9 +92,8 @@ def weighted(docs: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
                 [*names, "n_features", "log_weight"],
             )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"{schema}, n_features long, log_weight double"
+        run, W.with_columns(docs, keep, "n_features long, log_weight double")
     )
 
 
@@ -117,8 +116,8 @@ def cut_at(ranks: DataFrame, k: int) -> int | None:
     So at most 8192 counts come to the driver, and no sort of all rows is needed.
     """
     found, width = 0, 13
-    for shift in range(52, -1, -width):
-        under = ranks.where(F.shiftright("rank", shift + width) == found)
+    for shift in range(52, -1, -width):  # a rank is under 2 ** 61 and, with ``ordered``, over 2 ** 59
+        under = ranks.where(F.shiftright("rank", shift + width) == found) if found else ranks
         counts = under.groupBy((F.shiftright("rank", shift) % (1 << width)).alias("digit")).count().collect()
         for row in sorted(counts, key=lambda r: -r.digit):
             if row["count"] >= k:

@@ -199,7 +199,6 @@ def identify(
     """
     names = sorted(protos)
     matrix = np.array([protos[x] for x in names], np.float32).reshape(len(names), dimensions)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(
-        _predict(names, matrix, dimensions, letters), f"{schema}, lang_pred string, score double"
+        _predict(names, matrix, dimensions, letters), W.with_columns(docs, keep, "lang_pred string, score double")
     )

@@ -134,9 +134,8 @@ def scanned(files: DataFrame, keep: list[str], templates=TEMPLATES) -> DataFrame
     A licence file is near a template as a whole, or has a licence file's name and a licence's header.
     """
     kept = ["path", *[c for c in keep if c != "path"]]
-    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
     found = files.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(
-        _scan(templates), f"{schema}, header string, header_cosine double, whole string, whole_cosine double"
+        _scan(templates), W.with_columns(files, kept, "header string, header_cosine double, whole string, whole_cosine double")
     )
     whole = F.col("whole_cosine") >= FILE
     named = F.coalesce(F.col("path").rlike(NAMES), F.lit(False))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rosterlens.llm import words as W
 from rosterlens.session import staged
@@ -267,7 +268,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], broadcast_bytes: int =
     """
     spark = docs.sparkSession
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), _RESULT])
+    schema = W.with_columns(docs, keep, _RESULT)
     plain = Model(None, model.order, model.shift, model.tokens, model.types, model.once, model.mass, model.size)
     if model.size > broadcast_bytes:
         return _score_by_shuffle(rows, model, plain, schema)
@@ -285,7 +286,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], broadcast_bytes: int =
     return rows.mapInArrow(run, schema)
 
 
-def _score_by_shuffle(rows: DataFrame, model: Model, plain: Model, schema: str) -> DataFrame:
+def _score_by_shuffle(rows: DataFrame, model: Model, plain: Model, schema: StructType) -> DataFrame:
     """Scores where the filter is too large to broadcast.
 
     Documents ask for their distinct n-grams, and each segment answers in groups of askers (``turn``), so that

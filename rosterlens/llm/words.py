@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 #: Odd multipliers of the rolling combination of word hashes, and of the final mix.
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -75,9 +77,39 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20)
             yield batch.slice(a, b - a)
 
 
+def with_columns(df: DataFrame, keep: list[str], more: str) -> StructType:
+    """The schema of the columns ``keep`` of ``df``, then ``more``."""
+    return StructType([*(df.schema[c] for c in keep), *StructType.fromDDL(more)])
+
+
 def long_lists(arrays: list[np.ndarray]) -> pa.Array:
     """A list<int64> column from one uint64 array per row."""
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
     flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+_WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_DRAWN = np.random.Generator(np.random.PCG64(0x6C6D))
+_OF_BYTE = _DRAWN.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_OF_PLACE = _DRAWN.integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def spans(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text of bytes begin and end."""
+    edges = np.flatnonzero(np.diff(_WHITE[octets], prepend=True, append=True))
+    return edges[::2], edges[1::2]
+
+
+def span_hashes(octets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of at most 65,536 bytes: a random factor for each byte at each place, summed."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    lengths = ends - starts
+    firsts = np.cumsum(lengths) - lengths
+    inside = np.flatnonzero(~_WHITE[octets])
+    place = np.arange(len(inside)) - np.repeat(firsts, lengths)
+    if int(lengths.max()) > len(_OF_PLACE):
+        place %= len(_OF_PLACE)
+    return mixed(np.add.reduceat(_OF_BYTE[octets[inside]] * _OF_PLACE[place], firsts) + lengths.astype(np.uint64))
