@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,9 @@ from rosterlens.llm import words as W
 #: Ids of a block, zstandard level, pieces of text whose ids a task keeps.
 BLOCK = 1 << 16
 LEVEL = 3
-HELD = 500_000
+HELD = 300_000
+#: ASCII signs without those of special tokens and shortened words.
+_SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 CHUNKS = (
     "shard int, chunk int, first long, n_ids int, kind string, planes array<binary>, "
@@ -50,10 +53,11 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
 
 
 class LibraryIds:
-    """Ids by the tokenizers library; each distinct piece between ASCII white space goes to it once.
+    """Ids by the tokenizers library; each distinct run of letters or of signs goes to it once.
 
-    The file's normalizer and pattern never join what white space parts, so the pieces' ids one after
-    another are the text's.
+    The file's normalizer and pattern never join what ASCII white space parts, nor letters and the ASCII signs
+    after them. So the runs' ids one after another are the text's, and ASCII letters may be lower-cased
+    before. All other pieces go to the library as they are.
     """
 
     def __init__(self, spec: str, held: int = HELD):
@@ -63,20 +67,62 @@ class LibraryIds:
         self.model = Tokenizer.from_str(spec)
         self.model.no_truncation()
         self.model.no_padding()
-        self.held, self.known = held, {}
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
-        distinct = set().union(*split)
-        new = [w for w in distinct if w not in self.known]
-        if new and len(self.known) + len(new) > self.held:
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        self.held = held
+        self.pieces, self.old_pieces = {}, {}  # by hash: the newest ``held``, and those before them
+        self.runs, self.old_runs = {b"": b""}, {}
+
+    @staticmethod
+    def parted(piece: bytes) -> tuple[bytes, bytes]:
+        """Runs whose ids make up the piece's: letters and signs, or the piece alone."""
+        letters = piece.rstrip(_SIGNS)
+        if len(letters) == len(piece) or not letters:
+            return (piece.lower() if piece.isalpha() else piece), b""
+        if letters.isalpha():  # ASCII
+            return letters.lower(), piece[len(letters) :]
+        low = letters.decode("utf-8", "replace").lower()  # a letter's lower case may have a mark of its own
+        return (letters, piece[len(letters) :]) if low.isalpha() else (piece, b"")
+
+    def _learn(self, runs: set[bytes]) -> None:
+        new = []
+        for run in runs:
+            if (ids := self.old_runs.get(run)) is None:
+                new.append(run)
+            else:
+                self.runs[run] = ids
         for start in range(0, len(new), 20_000):
             part = new[start : start + 20_000]
             found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(x.ids, np.uint32).tobytes() for x in found), strict=True))
-        at = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(at, s)), np.uint32) for s in split]
+            self.runs.update(zip(part, (array("I", x.ids).tobytes() for x in found), strict=True))
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        if len(self.pieces) > self.held:
+            self.pieces, self.old_pieces = {}, self.pieces
+        if len(self.runs) > self.held:
+            self.runs, self.old_runs = {b"": b""}, self.runs
+        text = b"\n".join(t or b"" for t in texts)
+        octets = np.frombuffer(text, np.uint8)
+        starts, ends = W.spans(octets)
+        distinct, first, at = np.unique(W.span_hashes(octets, starts, ends), return_index=True, return_inverse=True)
+        found = list(map(self.pieces.get, distinct.tolist()))
+        new = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            key = int(distinct[i])
+            if (ids := self.old_pieces.get(key)) is None:
+                new.append((i, key, *self.parted(text[starts[first[i]] : ends[first[i]]])))
+            else:
+                self.pieces[key] = found[i] = ids
+        self._learn({run for _, _, *two in new for run in two if run not in self.runs})
+        for i, key, letters, signs in new:
+            self.pieces[key] = found[i] = self.runs[letters] + self.runs[signs]
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begins = np.cumsum(lengths) - lengths
+        own = lengths[at]
+        upto = np.append(0, np.cumsum(own))
+        ids = flat[np.arange(upto[-1]) + np.repeat(begins[at] - upto[:-1], own)]
+        texts_at = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
+        cut = upto[np.searchsorted(starts, texts_at)]
+        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 def _pack(spec, end: int, block: int, kind: str):
