@@ -226,10 +226,9 @@ def free(t: Text) -> Column:
 
 
 def code(t: Text, tail: Text) -> Column:
-    """Last fenced block, after the think marker first; an unterminated fence; else the text."""
-    return F.coalesce(
-        last_match(tail.raw, CODE_FENCE, 1), last_match(t.raw, CODE_FENCE, 1), first_match(t.raw, CODE_OPEN), t.raw
-    )
+    """Last fenced block, after the think marker first; an unterminated fence, empty or not; else the text."""
+    opened = F.when(F.rlike(t.raw, F.lit(java(CODE_OPEN))), F.coalesce(first_match(t.raw, CODE_OPEN), F.lit("")))
+    return F.coalesce(last_match(tail.raw, CODE_FENCE, 1), last_match(t.raw, CODE_FENCE, 1), opened, t.raw)
 
 
 def think_first(extract: Callable[[Text], Column], t: Text, tail: Text) -> Column:

@@ -61,7 +61,9 @@ def words(text: Column) -> Column:
 
 def is_json(text: Column) -> Column:
     body = F.regexp_replace(strip(text), java(FENCE_ENDS), "")
-    return F.try_parse_json(body).isNotNull()
+    # The parser stops after one value and ignores what follows; no such rest fits in both brackets.
+    wrapped = F.concat(F.lit("["), body, F.lit("]")), F.concat(F.lit('{"a":'), body, F.lit("}"))
+    return F.try_parse_json(wrapped[0]).isNotNull() & F.try_parse_json(wrapped[1]).isNotNull()
 
 
 def stage(df: DataFrame, text: str) -> DataFrame:

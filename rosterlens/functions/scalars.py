@@ -33,22 +33,6 @@ PERMISSIVE = (
     "agpl-3.0",
 )
 
-# Name parts that declare an instruction tune.
-CHAT_TOKENS = (
-    "instruct",
-    "chat",
-    "-it",
-    "sft",
-    "dpo",
-    "rlhf",
-    "tulu",
-    "vicuna",
-    "alpaca",
-    "orca",
-    "hermes",
-    "zephyr",
-)
-
 #: Day zero of upload ages.
 EPOCH = "2022-01-01T00:00:00Z"
 

@@ -118,6 +118,11 @@ def discrepancy(answers: DataFrame, n_models: Column) -> DataFrame:
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Order-free table digest (rows, hash) to tell whether two tables hold the same rows."""
-    cols = sorted(df.columns)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*cols)).alias("digest"))
+    """Order-free table digest (rows, hash) to tell whether two tables hold the same rows.
+
+    Hashes of the rows' JSON form, which names each column and writes nulls, are summed; so repeated rows
+    count and a null in one column differs from a null in another.
+    """
+    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    total = F.coalesce(F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), total.cast("string").alias("digest"))

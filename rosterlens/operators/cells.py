@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from rosterlens.functions.ranks import pearson
 
-#: Draw counts are stored in a byte.
-MAX_DRAWS = 255
-
 
 def fold_cells(draws: DataFrame) -> DataFrame:
     """cells(model_id, question_id, bench, acc, correct, draws): mean grade, strict majority bit."""
@@ -17,7 +14,7 @@ def fold_cells(draws: DataFrame) -> DataFrame:
     return draws.groupBy("model_id", "question_id", "bench").agg(
         acc.alias("acc"),
         (acc > 0.5).cast("int").alias("correct"),
-        F.least(F.count(F.lit(1)), F.lit(MAX_DRAWS)).cast("int").alias("draws"),
+        F.count(F.lit(1)).alias("draws"),
     )
 
 

@@ -85,16 +85,20 @@ def drop_degenerate(coverage: DataFrame, threshold: float = DEGENERATE_ACCURACY)
     return coverage.filter(F.col("accuracy") > threshold)
 
 
-def core_view(cells: DataFrame, core: DataFrame, n_core: int | Column) -> DataFrame:
-    """Per-model means on the core questions, an unanswered cell counting as incorrect.
+def core_view(cells: DataFrame, core: DataFrame, n_core: int | Column, models: DataFrame) -> DataFrame:
+    """Means on the core questions of all ``models``, an unanswered cell counting as incorrect.
 
-    The grid is never filled: a missing cell adds 0 to the sum, so the core size is the divisor.
+    The grid is never filled: a missing cell adds 0 to the sum, so the core size is the divisor. A
+    model without a core cell has 0, with the whole core written as incorrect.
     """
-    return (
+    got = (
         cells.join(core, "question_id", "left_semi")
         .groupBy("model_id")
-        .agg(
-            (F.sum("correct") / n_core).alias("core_accuracy"),
-            (n_core - F.count(F.lit(1))).cast("bigint").alias("written_as_incorrect"),
-        )
+        .agg(F.sum("correct").alias("right"), F.count(F.lit(1)).alias("answered"))
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return models.select("model_id").join(got, "model_id", "left").select(
+        "model_id",
+        (zero("right") / n_core).alias("core_accuracy"),
+        (n_core - zero("answered")).cast("bigint").alias("written_as_incorrect"),
     )

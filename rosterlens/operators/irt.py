@@ -19,6 +19,8 @@ from rosterlens.session import cut_lineage
 PENALTY = 1e-3
 #: Largest step of a coordinate in one iteration.
 MAX_STEP = 1.0
+#: Distinct abilities that a question meets at a time.
+ABILITY_BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -64,8 +66,11 @@ def item_step(cells: DataFrame, theta: DataFrame, items: DataFrame, scale: float
     )
 
 
-def fit_2pl(cells: DataFrame, seed: int = 0, rounds: int = 6) -> Fit2PL:
-    """Alternating Newton fit; the start is a small hashed ability plus the model's mean, a = 1."""
+def fit_2pl(cells: DataFrame, seed: int = 0, rounds: int = 12, tolerance: float = 1e-2) -> Fit2PL:
+    """Alternating Newton fit; the start is a small hashed ability plus the model's mean, a = 1.
+
+    Ends when neither an ability nor an item moves by more than ``tolerance``, or after ``rounds`` rounds.
+    """
     c = cut_lineage(cells.select("model_id", "question_id", "correct"))
     counts = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("model_id").alias("m"), F.countDistinct("question_id").alias("q")).first()
     # the mean-loss objective times the number of cells: 2 * penalty * n / axis length per coordinate
@@ -80,8 +85,14 @@ def fit_2pl(cells: DataFrame, seed: int = 0, rounds: int = 6) -> Fit2PL:
     )
     items = cut_lineage(items)
     for _ in range(rounds):
-        items = cut_lineage(item_step(c, theta, items, item_scale))
-        theta = cut_lineage(ability_step(c, theta, items, theta_scale))
+        new_items = cut_lineage(item_step(c, theta, items, item_scale))
+        new_theta = cut_lineage(ability_step(c, theta, new_items, theta_scale))
+        moved = max(
+            _largest_change(items, new_items, "question_id", ("a", "b")), _largest_change(theta, new_theta, "model_id", ("theta",))
+        )
+        items, theta = new_items, new_theta
+        if moved <= tolerance:
+            break
     return Fit2PL(theta, items)
 
 
@@ -95,27 +106,43 @@ def objective(cells: DataFrame, fit: Fit2PL) -> DataFrame:
     return data.select((F.col("ce") + PENALTY * (t2 + a2)).alias("loss"), "n")
 
 
-def fold_in_ability(cells: DataFrame, items: DataFrame, rounds: int = 8, scale: float = 2 * PENALTY) -> DataFrame:
-    """Abilities of models the items were not fitted on, the items frozen; all models at once."""
+def _largest_change(old: DataFrame, new: DataFrame, key: str, columns: tuple[str, ...]) -> float:
+    both = old.toDF(key, *(f"{c}_old" for c in columns)).join(new.toDF(key, *(f"{c}_new" for c in columns)), key)
+    moved = F.array_max(F.array(*(F.abs(F.col(f"{c}_old") - F.col(f"{c}_new")) for c in columns)))
+    return both.agg(F.max(moved).alias("m")).first().m or 0.0
+
+
+def fold_in_ability(cells: DataFrame, items: DataFrame, rounds: int = 50, scale: float = PENALTY, tolerance: float = 1e-6) -> DataFrame:
+    """Abilities of models the items were not fitted on, the items frozen; all models at once.
+
+    Ends when no ability moves by more than ``tolerance``, or after ``rounds`` steps.
+    """
     c = cut_lineage(cells.select("model_id", "question_id", "correct"))
     theta = c.select("model_id").distinct().withColumn("theta", F.lit(0.0))
     for _ in range(rounds):
-        theta = cut_lineage(ability_step(c, theta, items, scale))
+        new = cut_lineage(ability_step(c, theta, items, scale))
+        done = _largest_change(theta, new, "model_id", ("theta",)) <= tolerance
+        theta = new
+        if done:
+            break
     return theta
 
 
 def test_information(cells: DataFrame, fit: Fit2PL) -> DataFrame:
     """(question_id, score): sum over the fitted models of a^2 p (1 - p).
 
-    Every model counts for every question, also where its cell is missing, so the sum runs over
-    ability values: models are first counted per ability rounded to 1e-3, a bounded number of
-    values, and each question meets that list.
+    Every model counts for every question, also where its cell is missing. Equal abilities are counted
+    first; the distinct ones are dealt into blocks, and each question meets one block at a time, so no
+    row holds them all. The blocks' sums are then added.
     """
-    grid = fit.theta.groupBy(F.round("theta", 3).alias("t")).agg(F.count(F.lit(1)).alias("w"))
-    abilities = grid.agg(F.collect_list(F.struct("t", "w"))).scalar()
-    items = fit.items.withColumn("g", abilities)
+    grid = fit.theta.groupBy(F.col("theta").alias("t")).agg(F.count(F.lit(1)).alias("w"))
+    n_blocks = -(-grid.count() // ABILITY_BLOCK) or 1
+    blocks = grid.groupBy(F.pmod(F.xxhash64("t"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("t", "w")).alias("g"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    items = fit.items.select("*", every.alias("block")).join(blocks, "block")
     total = F.aggregate(
         "g", F.lit(0.0),
         lambda s, v: s + v["w"] * sigmoid(F.col("a") * v["t"] + F.col("b")) * (1 - sigmoid(F.col("a") * v["t"] + F.col("b"))),
     )
-    return items.select("question_id", (F.col("a") * F.col("a") * total).alias("score"))
+    parts = items.select("question_id", (F.col("a") * F.col("a") * total).alias("part"))
+    return parts.groupBy("question_id").agg(F.sum("part").alias("score"))

@@ -502,8 +502,9 @@ def register_card_class(name: str, grouped: str | None, min_members: int = 3) ->
         if "cards" not in b.cache:
             return absent(b, "macro_f1", "no model cards on this run")
         labels = b.cache["cards"].filter(F.col(name).isNotNull() & (F.col(name) != "unknown"))
-        codes = labels.select(name).distinct().select(name, F.xxhash64(name).alias("h"))
-        coded = labels.join(codes, name).select("model_id", F.pmod("h", F.lit(1_000_003)).cast("int").alias("label"))
+        classes = labels.select(name).distinct().select(name, F.xxhash64(name).alias("h"))
+        codes = hash_position(classes, [], "h", name)
+        coded = labels.join(codes, name).select("model_id", F.col("pos").cast("int").alias("label"))
         return class_transfer(b, coded, min_members, grouped)
 
     TASKS[name] = TaskSpec(name, "macro_f1", run, "cards")
@@ -593,7 +594,7 @@ def run_tasks(b: Bench, names: list[str]) -> DataFrame:
             )
             rows = cut_lineage(rows)
         except Exception as exc:  # noqa: BLE001 - a task's failure is a result
-            rows = b.embedding.agg(F.lit(str(exc)[:200]).alias("error")).select(
+            rows = b.embedding.agg(F.lit(str(exc)).alias("error")).select(
                 F.lit(name).alias("task"), F.lit(spec.primary).alias("metric"), F.lit(None).cast("double").alias("value"),
                 F.lit(None).cast("string").alias("note"), "error",
             )

@@ -8,7 +8,7 @@ DRAWS = """draws AS (
 
 CELLS = DRAWS + """, cells AS (
   SELECT model_id, question_id, bench, avg(correct) AS acc, (avg(correct) > 0.5)::INT AS correct,
-         least(count(*), 255)::INT AS draws
+         count(*) AS draws
   FROM draws GROUP BY ALL)"""
 
 QUESTIONS = """questions AS (SELECT DISTINCT p_brand || '|' || p_type AS question_id, p_type AS bench FROM part)"""

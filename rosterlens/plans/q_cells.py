@@ -148,14 +148,15 @@ def degenerate_drop(spark, sf):
 
 @query(
     "core_view",
-    f"""WITH {CELLS}, {QUESTIONS}, core AS (SELECT question_id FROM questions WHERE bench IN ('ECONOMY', 'SMALL', 'PROMO'))
-    SELECT model_id, round(sum(correct) / (SELECT count(*) FROM core), 6) AS core_accuracy,
-           (SELECT count(*) FROM core) - count(*) AS written_as_incorrect
-    FROM cells SEMI JOIN core USING (question_id) GROUP BY 1""",
+    f"""WITH {CELLS}, {QUESTIONS}, {MODELS}, core AS (SELECT question_id FROM questions WHERE bench IN ('ECONOMY', 'SMALL', 'PROMO')),
+    got AS (SELECT model_id, sum(correct) AS r, count(*) AS n FROM cells SEMI JOIN core USING (question_id) GROUP BY 1)
+    SELECT model_id, round(coalesce(r, 0) / (SELECT count(*) FROM core), 6) AS core_accuracy,
+           (SELECT count(*) FROM core) - coalesce(n, 0) AS written_as_incorrect
+    FROM models LEFT JOIN got USING (model_id)""",
 )
 def core_view(spark, sf):
     core = T.questions(spark, sf).filter(F.col("bench").isin("ECONOMY", "SMALL", "PROMO"))
-    return rounded(G.core_view(T.cells(spark, sf), core, core.agg(F.count(F.lit(1))).scalar()), "core_accuracy")
+    return rounded(G.core_view(T.cells(spark, sf), core, core.agg(F.count(F.lit(1))).scalar(), T.models(spark, sf)), "core_accuracy")
 
 
 @query(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from rosterlens.plans.q_cells import rounded
 from rosterlens.plans.registry import query
+from rosterlens.session import drop_at_end, shared_folder
 from rosterlens.sources import tables as T
 from rosterlens.streaming import ingest as S
 
@@ -50,9 +50,10 @@ def window_session(spark, sf):
 
 
 def scratch(spark) -> str:
-    """A new folder under the session's checkpoint directory; a temporary one only where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="rosterlens-stream-")
+    """A new folder in the folder that driver and executors share; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    return path
 
 
 @query(

@@ -15,25 +15,26 @@ from rosterlens.sources import tables as T
 
 HEAD = "<<On things>>\nSection 1\n"
 FOOT = "\n\n* one *point*\n- two [slot] [other]\n******\n**strong** NASA said\nP.S. bye"
-BARE = '"My answer is no."'
+#: What a JSON string of either engine holds as it is.
+PLAIN = "[^A-Za-z0-9 .,]"
 
 
 def essays(spark, sf):
-    """Every document's whole text; a third carries markup around it, a fifth is in capitals, some are one quoted line."""
+    """Every document's whole text; a third carries markup around it, a fifth is in capitals, some are quoted or in JSON."""
     d = F.col("doc_id")
     text = (
         F.when(d % 3 == 0, F.concat(F.lit(HEAD), F.col("text"), F.lit(FOOT)))
         .when((d % 5 == 1) & ~F.contains("text", F.lit("ß")), F.upper("text"))
-        .when(d % 7 == 2, F.lit(BARE))
-        .when(d % 11 == 4, F.concat(F.lit('```json\n{"a": '), d.cast("string"), F.lit(', "b": [1, null]}\n```')))
+        .when(d % 7 == 2, F.concat(F.lit('"'), F.col("text"), F.lit('"')))
+        .when(d % 11 == 4, F.concat(F.lit('```json\n{"a": "'), F.regexp_replace("text", PLAIN, " "), F.lit('", "b": [1, null]}\n```')))
         .otherwise(F.col("text"))
     )
     return T.documents(spark, sf).select("doc_id", "lang", "source", text.alias("text"))
 
 
 ESSAYS = f"""essays AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN {q(HEAD)} || text || {q(FOOT)}
-  WHEN doc_id % 5 = 1 AND NOT contains(text, 'ß') THEN upper(text) WHEN doc_id % 7 = 2 THEN {q(BARE)}
-  WHEN doc_id % 11 = 4 THEN '```json' || chr(10) || '{{"a": ' || doc_id || ', "b": [1, null]}}' || chr(10) || '```' ELSE text END AS r FROM documents)"""
+  WHEN doc_id % 5 = 1 AND NOT contains(text, 'ß') THEN upper(text) WHEN doc_id % 7 = 2 THEN '"' || text || '"'
+  WHEN doc_id % 11 = 4 THEN '```json' || chr(10) || '{{"a": "' || regexp_replace(text, {q(PLAIN)}, ' ', 'g') || '", "b": [1, null]}}' || chr(10) || '```' ELSE text END AS r FROM documents)"""
 
 S = "regexp_replace(r, '^\\s+|\\s+$', '', 'g')"
 W = f"regexp_extract_all(r, {q(I.WORD)})"

@@ -28,11 +28,11 @@ QEMB = f"""q0 AS (SELECT question_id, {h("'0'", "'question'", 'question_id')} %
 
 
 def rvec(expr: str, digits: int = 6) -> str:
-    return f"list_transform({expr}, lambda x: round(x, {digits}))"
+    return f"list_transform({expr}, lambda x: round(x, {digits}) + 0.0::DOUBLE)"
 
 
 def rounded_vec(df, name, digits=6):
-    return df.withColumn(name, F.transform(name, lambda x: near(x.cast("double"), digits)))
+    return df.withColumn(name, F.transform(name, lambda x: near(x.cast("double"), digits) + F.lit(0.0)))
 
 
 def answers(spark, sf):

@@ -29,7 +29,7 @@ def arms(width: int, seed: int, models: DataFrame) -> dict[str, Arm]:
 
     return {
         "pls_fusion": lambda bits, text, train: E.pls_svd(bits, text, (half[0], half[1]), train),
-        "text_only": lambda bits, text, train: text.select("model_id", F.slice("emb", 1, width).alias("vec")),
+        "text_only": lambda bits, text, train: text.select("model_id", F.col("emb").alias("vec")),
         f"null_random{width}": floor,
     }
 

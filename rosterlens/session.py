@@ -74,9 +74,11 @@ def unstaged(df: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of few pieces to all cores before expensive per-row work.
+    """On one machine, give a scan of few pieces to all cores before expensive per-row work.
 
-    A table of many files already has more pieces than cores and is returned as it is.
+    A cluster's scans are split by the session's file settings, and nothing is shuffled for it.
     """
+    if not df.sparkSession.sparkContext.master.startswith("local["):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
