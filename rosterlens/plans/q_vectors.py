@@ -358,7 +358,7 @@ def fold_in(spark, sf):
 @query("random_fingerprint")
 def random_fingerprint(spark, sf):
     """Stacked probe answers under one random projection; the probes are a seeded sample of questions."""
-    q = T.questions(spark, sf).withColumn("h", keyed_hash("7", "probe", F.col("question_id"))).orderBy("h").limit(60)
+    q = T.questions(spark, sf).withColumn("h", keyed_hash("7", "probe", F.col("question_id"))).orderBy("h").limit(600)
     return rounded_vec(E.random_fingerprint(answers(spark, sf), q, 16, DIM, 7), "vec", 5)
 
 

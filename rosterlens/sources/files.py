@@ -140,8 +140,11 @@ def collected_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_results(rows: DataFrame, folder: str, order: str) -> None:
-    """Graded rows as JSON, one folder per model, in probe order inside a file; the commit is atomic."""
-    rows.repartition("model_id").sortWithinPartitions("model_id", order).write.mode("overwrite").partitionBy("model_id").json(folder)
+    """Graded rows as JSON, one folder per model, in probe order inside and across its files; the commit is atomic.
+
+    Rows are laid out by ranges of model and probe, so a model with very many rows has several files.
+    """
+    rows.repartitionByRange("model_id", order).sortWithinPartitions("model_id", order).write.mode("overwrite").partitionBy("model_id").json(folder)
 
 
 def board_labels(spark: SparkSession, path: str) -> DataFrame:
