@@ -254,6 +254,10 @@ def fold_in_ridge(bits: DataFrame, loadings: DataFrame, width: int, lam: float =
     return sums.mapInPandas(solve, f"model_id {dict(bits.dtypes)['model_id']}, vec array<double>")
 
 
+#: Texts that are encoded in one product.
+ENCODED = 64
+
+
 def hashed_text(texts: DataFrame, text: str, width: int, seed: int = 0, buckets: int = 4096) -> DataFrame:
     """Adds ``emb``: hashed word and bigram counts at unit length, a fixed Gaussian projection, unit length.
 
@@ -274,15 +278,19 @@ def hashed_text(texts: DataFrame, text: str, width: int, seed: int = 0, buckets:
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         proj = np.random.default_rng(seed).standard_normal((buckets, width)) / np.sqrt(width)
         for p in batches:
-            out = []
-            for c in p["__c"]:
-                if c is None or len(c) == 0:
-                    out.append(np.zeros(width, dtype=np.float32))
-                    continue
-                idx, n = np.unique(np.asarray(c), return_counts=True)
-                v = (n / np.linalg.norm(n)) @ proj[idx]
-                out.append((v / max(np.linalg.norm(v), 1e-30)).astype(np.float32))
-            yield p.drop(columns="__c").assign(emb=out)
+            out = np.zeros((len(p), width))
+            codes = [np.empty(0, np.int64) if c is None else np.asarray(c, np.int64) for c in p["__c"]]
+            for start in range(0, len(codes), ENCODED):
+                part = codes[start : start + ENCODED]
+                row = np.repeat(np.arange(len(part)), [len(c) for c in part])
+                pair, n = np.unique(row * buckets + np.concatenate(part), return_counts=True)
+                row, code = pair // buckets, pair % buckets
+                size = np.sqrt(np.bincount(row, n.astype(float) ** 2, len(part)))
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                if len(first):
+                    sums = np.add.reduceat((n / size[row])[:, None] * proj[code], first)
+                    out[start + row[first]] = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
+            yield p.drop(columns="__c").assign(emb=list(out.astype(np.float32)))
 
     return df.mapInPandas(encode, out_type)
 
