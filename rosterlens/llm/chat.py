@@ -168,7 +168,8 @@ def fit(lines: DataFrame) -> Model:
 def labelled_lines(turns: DataFrame) -> DataFrame:
     """Lines of ``turns(conv_id, turn, tie, role, text)`` with what stands before each, for ``fit``.
 
-    Only the last line and the role of the turn before are taken from elsewhere, so no transcript is gathered.
+    Only the last line and the role of the turn before are taken from elsewhere, within blocks of 64 turns, so no
+    transcript is gathered. A later block's first turn teaches nothing.
     """
     by = Window.partitionBy("conv_id", F.floor(F.col("turn") / 64)).orderBy("turn", "tie")
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1, F.lit(None))
@@ -176,7 +177,7 @@ def labelled_lines(turns: DataFrame) -> DataFrame:
         "end_state", F.when(code >= 0, 2 * code + F.when(F.size("lines") > 1, 1).otherwise(0))
     )
     lined = lined.withColumn("held", F.lag(F.struct(F.element_at("lines", -1).alias("line"), "end_state")).over(by))
-    each = lined.where((F.col("turn") % 64 == 0) | F.col("held").isNotNull()).select(
+    each = lined.where((F.floor(F.col("turn") / 64) <= 0) | F.col("held").isNotNull()).select(
         "role", "lines", "held", code.alias("code"), F.posexplode("lines").alias("i", "line")
     )
     inside = F.col("i") > 0
