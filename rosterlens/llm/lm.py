@@ -191,18 +191,21 @@ def train(docs: DataFrame, order: int = 2, segment_bytes: int = SEGMENT) -> Mode
     return Model(segments, order, shift, sums.tokens, sums.types, sums.once, float(sums.mass), sums["size"])
 
 
-def _assembled(rows: list, shift: int) -> Filter:
-    n = 1 << (64 - shift)
-    sizes, begins = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    rows = sorted(rows, key=lambda r: r[0])
-    at = 0
-    for segment, _, _, bits in rows:
-        sizes[segment], begins[segment] = 8 * len(bits), at
-        at += len(bits)
-    join = lambda i: b"".join(r[i] for r in rows)
-    return Filter(
-        shift, sizes, begins, np.frombuffer(join(3), np.uint8), np.frombuffer(join(1), np.uint64), np.frombuffer(join(2), "<i8")
-    )
+def _assembled(sizes: list[tuple[int, int, int, int]], rows: Iterator[tuple[int, bytes, bytes, bytes]], shift: int) -> Filter:
+    """From each segment's number and bytes of words, counts and bits, and then those, in any order.
+
+    Each row is copied to its place, so no more than the filter and one row is held.
+    """
+    sizes = sorted(sizes)
+    parts = [np.empty(sum(x[i] for x in sizes), np.uint8) for i in (1, 2, 3)]
+    ends = np.cumsum([x[1:] for x in sizes], axis=0) if sizes else []
+    places = {x[0]: [int(e) - n for e, n in zip(end, x[1:], strict=True)] for x, end in zip(sizes, ends, strict=True)}
+    bits, begins = np.zeros(1 << (64 - shift), np.int64), np.zeros(1 << (64 - shift), np.int64)
+    for segment, *own in rows:
+        for part, at, octets in zip(parts, places[segment], own, strict=True):
+            part[at : at + len(octets)] = np.frombuffer(octets, np.uint8)
+        bits[segment], begins[segment] = 8 * len(own[2]), places[segment][2]
+    return Filter(shift, bits, begins, parts[2], parts[0].view(np.uint64), parts[1].view("<i8"))
 
 
 Lookup = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -272,9 +275,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], broadcast_bytes: int =
     plain = Model(None, model.order, model.shift, model.tokens, model.types, model.once, model.mass, model.size)
     if model.size > broadcast_bytes:
         return _score_by_shuffle(rows, model, plain, schema)
-    parts = [tuple(r) for r in model.segments.select("segment", "words", "counts", "bits").toLocalIterator()]
-    held = spark.sparkContext.broadcast(_assembled(parts, model.shift))
-    del parts
+    sizes = model.segments.select("segment", F.length("words"), F.length("counts"), F.length("bits")).collect()
+    parts = model.segments.select("segment", "words", "counts", "bits").toLocalIterator()
+    held = spark.sparkContext.broadcast(_assembled([tuple(r) for r in sizes], parts, model.shift))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, known = W.WordHashes(), held.value
@@ -317,7 +320,8 @@ def _score_by_shuffle(rows: DataFrame, model: Model, plain: Model, schema: Struc
         level = exact = np.zeros(len(flat), np.int64)
         if segment.num_rows:
             own = segment.slice(0, 1).to_pylist()[0]
-            known = _assembled([(0, own["words"], own["counts"], own["bits"])], 64)
+            three = own["words"], own["counts"], own["bits"]
+            known = _assembled([(0, *map(len, three))], iter([(0, *three)]), 64)
             level, exact = known.quantised(flat), known.exact(flat)
         cut = np.cumsum([0, *(len(k) for k in keys)])
         pick = lambda x: [x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
