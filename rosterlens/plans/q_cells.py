@@ -32,7 +32,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def near(x, digits: int = 6):
-    return F.round(F.round(x, digits + SETTLE), digits)
+    return F.round(F.round(x, digits + SETTLE), digits) + F.lit(0.0)  # no negative zero
 
 
 def coverage(spark, sf):

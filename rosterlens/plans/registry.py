@@ -32,7 +32,7 @@ def settled(sql: str) -> str:
         body, comma, digits = sql[start + 6 : end - 1].rpartition(",")
         d = digits.strip()
         if comma and d in ("4", "5", "6"):
-            out.append(f"{sql[at:start]}round(round({settled(body)}, {int(d) + SETTLE}), {d})")
+            out.append(f"{sql[at:start]}(round(round({settled(body)}, {int(d) + SETTLE}), {d}) + 0)")
         else:
             out.append(sql[at : start + 6] + settled(sql[start + 6 : end - 1]) + ")")
         at = end
