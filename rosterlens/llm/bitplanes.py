@@ -157,7 +157,7 @@ def _pack(spec, end: int, block: int, kind: str):
             ids = [flat[done:]]
             held = len(flat) - done
 
-        for batch in W.pieces(batches, "text"):
+        for batch in W.pieces(batches, "text", 2 << 20):
             encoded = library.encode(W.text_bytes(batch.column("text")))
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 docs.append((row, doc_id, total, len(own) + 1))

@@ -100,7 +100,7 @@ def _gather(order: int, shift: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = W.WordHashes()
-        for batch in W.pieces(batches, "text", 16 << 20):
+        for batch in W.pieces(batches, "text", 8 << 20):
             texts = [sequence(t, cache) for t in W.text_bytes(batch.column("text"))]
             rows = []
             for n in range(1, order + 1):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, neardup
+from rosterlens.llm import words as W
 from rosterlens.session import drop_at_end, shared_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    W.lean_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

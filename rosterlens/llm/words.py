@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Odd multipliers of the rolling combination of word hashes, and of the final mix.
@@ -20,7 +20,7 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all it holds at ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
@@ -65,7 +65,12 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def lean_batches(spark: SparkSession) -> None:
+    """Batches of at most 8 MB between Spark and Python, so that long texts don't fill a task's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``size`` bytes of text, one row at least."""
     for batch in batches:
         if not batch.num_rows:
@@ -75,6 +80,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = 8 << 20)
         edges = [0, *cut.tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns(df: DataFrame, keep: list[str], more: str) -> StructType:
