@@ -222,26 +222,26 @@ def _scored(sequences: list[np.ndarray], model: Model, lookup: Lookup) -> list[t
     unseen = max(model.once, 1) / (model.tokens + 1)
     single = np.where(count > 0, (1 - unseen) * count / max(model.mass, 1.0), unseen)
     p = single
+    begins = np.cumsum([0, *map(len, sequences)])[:-1]
+    shorter = count  # of the gram that ends here, one order less
     for n in range(2, model.order + 1):
-        # Where a context would begin before the text, the shorter one's probability stands.
-        grams = [np.concatenate([np.zeros(min(n - 1, len(s)), np.uint64), W.gram_hashes(s, n)]) for s in sequences]
-        contexts = [np.concatenate([np.zeros(min(n - 1, len(s)), np.uint64), W.gram_hashes(s[:-1], n - 1)]) for s in sequences]
-        both = np.concatenate([np.concatenate(grams), np.concatenate(contexts)])
-        keys, at = np.unique(both, return_inverse=True)
+        # Where a gram would begin before the text, the shorter context's probability stands.
+        grams = np.concatenate([g for s in sequences for g in (np.zeros(min(n - 1, len(s)), np.uint64), W.gram_hashes(s, n))])
+        keys, at = np.unique(grams, return_inverse=True)
         found = values(lookup(keys)[0])
         found[keys == 0] = 0
-        whole, context = found[at[: len(p)]], found[at[len(p) :]]
-        whole = np.minimum(whole, np.minimum(context, count))
-        p = (whole + KAPPA * p) / (context + KAPPA)
+        raw = found[at]
+        context = np.append(0.0, shorter[:-1])
+        context[begins] = 0
+        p = (np.minimum(raw, np.minimum(context, count)) + KAPPA * p) / (context + KAPPA)
+        shorter = raw
     base = np.log10((known + 1) / (model.tokens + model.types + 1))
     own = np.log10(np.minimum(p, 1.0))
-    out, a = [], 0
-    for s in sequences:
-        b = a + len(s)
-        part = slice(a + 1, b)  # the first mark is context only
-        out.append((len(s) - 1, int((known[part] > 0).sum()), math.fsum(base[part]), math.fsum(own[part])))
-        a = b
-    return out
+    seen = (known > 0).astype(np.int64)
+    for x in (base, own, seen):
+        x[begins] = 0  # the first mark is context only
+    sums = [np.add.reduceat(x, begins) for x in (seen, base, own)]
+    return [(len(s) - 1, int(k), float(b), float(o)) for s, k, b, o in zip(sequences, *sums, strict=True)]
 
 
 def _columns(batch: pa.RecordBatch, rows: list[tuple], model: Model, leave: set[str]) -> pa.RecordBatch:
