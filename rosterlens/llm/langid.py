@@ -16,7 +16,7 @@ from rosterlens.llm import words as W
 #: Dimensions of the vectors, letters of an n-gram, n-grams whose vectors a task keeps.
 DIMENSIONS = 1024
 LETTERS = 3
-HELD = 12_000
+HELD = 8_192
 #: Rows of one dense product; with HELD it bounds a task's memory.
 ROWS = 128
 #: Label of a text without letters.

@@ -20,7 +20,7 @@ MIX_B = np.uint64(0x94D049BB133111EB)
 class WordHashes(dict):
     """word -> 64-bit hash; forgets all it holds at ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
