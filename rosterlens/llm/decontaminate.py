@@ -97,21 +97,23 @@ class Items:
         each = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[found], n)
         return np.repeat(at, n), self.item[each], self.place[each]
 
-    def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, lowest start, highest start) of the bands that hold enough shared q-grams.
+    def regions(self, codes: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, lowest start, highest start) of the bands that hold enough shared q-grams.
 
-        Bands of starts are twice as wide as an item's budget and overlap by half, so the starts that one copy's
-        edits shift fall into one of them together.
+        Documents start at ``begins`` in the codes, and bands count from there. Bands of starts are twice as wide
+        as an item's budget and overlap by half, so the starts that one copy's edits shift fall into one of
+        them together.
         """
         at, item, place = self.hits(codes)
-        start = at - place
+        doc = np.searchsorted(begins, at, "right") - 1
+        start = at - begins[doc] - place
         half = self.budget[item] + 1
         low = start // half
-        key = np.concatenate([np.stack([item, low]), np.stack([item, low - 1])], axis=1)
+        key = np.concatenate([np.stack([doc, item, low]), np.stack([doc, item, low - 1])], axis=1)
         bands, count = np.unique(key, axis=1, return_counts=True)
-        for i in np.flatnonzero(count >= self.bound[bands[0]]):
-            step = int(self.budget[bands[0, i]]) + 1
-            yield int(bands[0, i]), int(bands[1, i]) * step, (int(bands[1, i]) + 2) * step
+        for i in np.flatnonzero(count >= self.bound[bands[1]]):
+            step = int(self.budget[bands[1, i]]) + 1
+            yield int(bands[0, i]), int(bands[1, i]), int(bands[2, i]) * step, (int(bands[2, i]) + 2) * step
 
 
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
@@ -148,18 +150,19 @@ def _search(items):
             starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
             codes, at = folded("\0".join(texts) + "\0")
             out = set()
-            for i, low, high in known.regions(codes):
+            ends = np.flatnonzero(codes == 0)
+            begins = np.append(0, ends[:-1] + 1)
+            for doc, i, low, high in known.regions(codes, begins):
                 item, k = known.codes[i], int(known.budget[i])
+                own, places = (x[begins[doc] : ends[doc]] for x in (codes, at))
                 a = max(0, low - k)
-                near = codes[a : high + len(item) + k].astype("<u4").tobytes().decode("utf-32-le")
+                near = own[a : high + len(item) + k].astype("<u4").tobytes().decode("utf-32-le")
                 exact = near.find(spelled[i])
-                copy = (0, a + exact, a + exact + len(item)) if exact >= 0 else aligned(item, codes, low, high, k)
+                copy = (0, a + exact, a + exact + len(item)) if exact >= 0 else aligned(item, own, low, high, k)
                 if copy:
-                    edits, start, stop = copy
-                    first, last = at[max(0, start)], at[min(stop, len(at)) - 1]
-                    doc = int(np.searchsorted(starts, first, "right")) - 1
-                    if last < starts[doc + 1]:
-                        out.add((doc, known.ids[i], int(first - starts[doc]), int(last - starts[doc]) + 1, edits))
+                    edits, start, stop = copy  # over an edge of the document where symbols of the item are missing
+                    first, last = places[max(0, start)], places[min(stop, len(places)) - 1]
+                    out.add((doc, known.ids[i], int(first - starts[doc]), int(last - starts[doc]) + 1, edits))
             rows = sorted(out, key=str)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -178,7 +181,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> DataFrame:
     Texts are compared by their letters and digits in lower case; start and stop are places in the document's
     own text. A copy is a whole item within EDITS hundredths of its length in insertions, deletions and
     changes, and within one document. By the q-gram lemma, it shares n - q + 1 - k q windows of q symbols
-    with the item, on starts that lie within k of each other; only bands of starts with that many are aligned.
+    with the item, on starts that lie within k of each other; only bands of starts with that many are aligned,
+    each with its own document alone. So what stands before or after a document makes no difference to it.
     Every start that survives is reported once for each band, so a copy in two bands may appear with one
     place or two equal ones, which are merged.
 

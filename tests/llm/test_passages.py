@@ -35,6 +35,19 @@ def test_leaks(spark, odd, nothing):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_leaks_cut_at_an_edge_of_their_document(spark):
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    item = ITEMS[0][1].rstrip(".")
+    texts = ["words of another document stand here", *(item[n:] for n in range(6)), *(item[: len(item) - n] for n in range(1, 6)), "and the last one"]
+    rows = [(i, texts[i % len(texts)]) for i in range(3 * len(texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {n: {tuple(r) for r in decontaminate.leaks(docs.repartition(n), items).collect()} for n in (1, 2, 100)}
+    assert {r[0] for r in got[1]} == {i for i, t in rows if t in item}
+    symbols = lambda t: len(decontaminate.folded(t)[0])
+    assert all(0 <= start < stop <= len(rows[i][1]) and edits == symbols(item) - symbols(rows[i][1]) for i, _, start, stop, edits in got[1])
+    assert got[1] == got[2] == got[100]
+
+
 def test_aligned_is_the_edit_distance():
     r = random.Random(4)
     codes = lambda s: decontaminate.folded(s)[0]
