@@ -134,13 +134,15 @@ def resampled(weights: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
     That draws ``k`` rows without return, in proportion to their weights. Rows with one doc_id share a draw.
     Rows equal to the last key kept are all kept, so the result doesn't depend on their order. A ``k`` of
-    0 keeps none.
+    0 keeps none. Where ``weights`` have n_features, rows with none (null and empty texts) are not drawn and
+    take no place: kept is false for them.
     """
+    able = F.coalesce(F.col("n_features") > 0, F.lit(False)) if "n_features" in weights.columns else F.lit(True)
     keyed = weights.withColumn("key", F.round(F.col("log_weight") + gumbel(seed, "doc_id"), 6)).withColumn("rank", ordered(F.col("key")))
     if k <= 0:
         return keyed.withColumn("kept", F.lit(False)).drop("rank")
-    cut = cut_at(keyed.select("rank"), k)
-    return keyed.withColumn("kept", F.lit(True) if cut is None else F.col("rank") >= cut).drop("rank")
+    cut = cut_at(keyed.where(able).select("rank"), k)
+    return keyed.withColumn("kept", able if cut is None else able & (F.col("rank") >= cut)).drop("rank")
 
 
 def room(weights: DataFrame, reach: float = REACH) -> int:

@@ -72,7 +72,10 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_weight, key and kept of every document; the target is labelled good."""
+    """doc_id, n_features, log_weight, key and kept of every document; the target is labelled good.
+
+    Null and empty texts have no feature and are never kept.
+    """
     good = importance.bounded_target(labels.where("quality = 1").select("doc_id"))
     marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
     ratios = importance.log_ratios(marked)

@@ -114,6 +114,16 @@ def test_quality_of_given_and_odd_documents(spark, odd, nothing):
     assert queries.sampled_quality(nothing, labels).count() == 0
 
 
+def test_empty_texts_take_no_place(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    text = F.when(F.col("id") % 3 == 0, F.lit("")).when(F.col("id") % 3 == 1, F.lit(" \n "))
+    empty = spark.range(10**6, 10**6 + docs.count() // 2).select(F.col("id").alias("doc_id"), text.alias("text"))
+    alone, beside = ({r.doc_id for r in queries.sampled_quality(d, labels).where("kept").collect()} for d in (docs, docs.unionByName(empty)))
+    assert alone and alone == beside
+
+
 def test_scores_by_brute_force_and_by_both_ways(spark, odd, nothing):
     docs = odd.select("doc_id", "text", "n", lm.held_out("doc_id", 7).alias("held_out"), F.col("text").alias("copy"))
     model = lm.train(docs.where("not held_out"), segment_bytes=50_000)
