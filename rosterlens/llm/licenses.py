@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import textwrap
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -28,8 +29,14 @@ TEMPLATES = (
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
                 "Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+                "Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+                 "General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
@@ -46,10 +53,12 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Proprietary", "All rights reserved."),
 )
-#: Only lines with one of these are compared; every template has one.
-CUES = (b"licen", b"permi", b"redistribution", b"public domain", b"rights reserved", b"copyright")
+#: Only lines with one of these and those around them are compared; every template has one, none of which a line's end parts.
+CUES = (b"licen", b"permi", b"redistribut", b"domain", b"reserved", b"copyright")
 #: Least cosine of a header, and of a whole text that is a licence file.
 HEADER, FILE = 0.8, 0.6
+#: Columns of the narrowest wrapped header, and ends of sentences in a header at most.
+COLUMNS, SENTENCES = 50, 3
 #: Names of licence files.
 NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 
@@ -69,6 +78,8 @@ class Index:
         self.unseen = math.log(1 + len(templates)) + 1
         self.idf = {x: math.log((1 + len(templates)) / (1 + n)) + 1 for x, n in df.items()}
         self.names = [n for n, _ in templates]
+        #: Lines of the longest template, and one more as it may begin within a line.
+        self.span = 1 + max((len(textwrap.wrap(t, COLUMNS)) for _, t in templates), default=0)
         self.lists: dict[str, list[tuple[int, float]]] = {}
         for i, c in enumerate(counted):
             norm = math.sqrt(sum((n * self.idf[x]) ** 2 for x, n in c.items()))
@@ -77,7 +88,9 @@ class Index:
 
     def best(self, text: str) -> tuple[float, str | None]:
         """Cosine and name of the nearest template; of equal ones the first by name."""
-        counted = terms(text)
+        return self.nearest(terms(text))
+
+    def nearest(self, counted: Counter) -> tuple[float, str | None]:
         dots: Counter = Counter()
         for x, n in counted.items():
             for i, weight in self.lists.get(x, ()):
@@ -94,18 +107,33 @@ def _index(templates) -> Index:
     return Index(templates)
 
 
-def passages(text: bytes) -> list[str]:
-    """Lines with a cue, alone and with the next one and two, and their sentences."""
+def _runs(parts: list[str], span: int) -> Iterator[Counter]:
+    """Terms of every run of at most ``span`` parts that holds a cue."""
+    cued = [any(c in p.lower().encode() for c in CUES) for p in parts]
+    near = [any(cued[max(0, i - span + 1) : i + span]) for i in range(len(parts))]
+    counted = [terms(p) if x else Counter() for p, x in zip(parts, near, strict=True)]
+    for i in range(len(parts)):
+        if any(cued[i : i + span]):
+            held, cue = Counter(), False
+            for j in range(i, min(i + span, len(parts))):
+                held.update(counted[j])
+                cue = cue or cued[j]
+                if cue:
+                    yield held
+
+
+def passages(text: bytes, span: int) -> Iterator[Counter]:
+    """Terms of what is compared: runs of lines around each cue, and runs of their pieces.
+
+    Runs have at most ``span`` lines. Pieces end where a line or a sentence does, so a header may begin or end within
+    a line. Each counter is the passage's until the next one is drawn.
+    """
     low = text.lower()
     if not any(c in low for c in CUES):
-        return []
-    lines, out = text.decode("utf-8", "replace").split("\n"), []
-    for i, line in enumerate(lines):
-        octets = line.lower().encode()
-        if any(c in octets for c in CUES):
-            out += [line, *(" ".join(lines[i : i + n]) for n in (2, 3) if i + n <= len(lines))]
-            out += [s for s in re.split(r"(?<=[.;])\s+", line) if s != line]
-    return out
+        return
+    whole = text.decode("utf-8", "replace")
+    yield from _runs(whole.split("\n"), span)
+    yield from _runs([p for p in re.split(r"\n|(?<=[.;])\s+", whole) if p.strip()], span + SENTENCES)
 
 
 def _scan(templates):
@@ -114,9 +142,9 @@ def _scan(templates):
         for batch in W.pieces(batches, "text"):
             rows = []
             for text in W.text_bytes(batch.column("text")):
-                parts = passages(text or b"")
-                header = max((index.best(p) for p in parts), key=lambda x: (x[0], x[1] or ""), default=(0.0, None))
-                whole = index.best(text.decode("utf-8", "replace")) if parts else (0.0, None)
+                near = [index.nearest(p) for p in passages(text or b"", index.span)]
+                header = max(near, key=lambda x: (x[0], x[1] or ""), default=(0.0, None))
+                whole = index.best(text.decode("utf-8", "replace")) if near else (0.0, None)
                 rows.append((header[1] if header[0] >= HEADER else None, header[0], whole[1], whole[0]))
             names = [c for c in batch.schema.names if c != "text"]
             kinds = (pa.string(), pa.float64(), pa.string(), pa.float64())

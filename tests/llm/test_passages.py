@@ -1,6 +1,7 @@
 """Benchmark leaks, licences, chat transcripts and the pipeline."""
 
 import random
+import textwrap
 
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -96,6 +97,22 @@ def test_licences(spark, nothing):
     assert licenses.licenses(nothing.withColumn("path", F.lit("p")), ["doc_id"]).count() == 0
 
 
+def test_wrapped_headers(spark):
+    more = {
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\n"
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as\n"
+        "published by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    }
+    wrap = lambda t, n: "\n".join(f"# {x}" for x in textwrap.wrap(t, n, break_on_hyphens=False))
+    texts = [(name, wrap(t, n)) for name, t in licenses.TEMPLATES for n in range(50, 81, 3)] + list(more.items())
+    rows = [(i, f"{i}.c", f"int main() of a program that counts its words\n{t}\nand more of what it does, then some\n" + "and all of it then\n" * 9) for i, (_, t) in enumerate(texts)]
+    found = licenses.scanned(spark.createDataFrame(rows, "doc_id long, path string, text string"), ["doc_id"]).collect()
+    assert {r.doc_id: r.license for r in found} == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def test_templates_find_themselves():
     index = licenses.Index()
     for name, text in licenses.TEMPLATES:
