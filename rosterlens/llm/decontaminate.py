@@ -164,19 +164,20 @@ def _search(items):
                     first, last = places[max(0, start)], places[min(stop, len(places)) - 1]
                     out.add((doc, known.ids[i], int(first - starts[doc]), int(last - starts[doc]) + 1, edits))
             rows = sorted(out, key=str)
+            names, of = [c for c in batch.schema.names if c != "text"], pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
+                    *[batch.column(c).take(of) for c in names],
                     *[pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)],
                 ],
-                ["doc_id", "item_id", "start", "stop", "edits"],
+                [*names, "item_id", "start", "stop", "edits"],
             )
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> DataFrame:
-    """(doc_id, item_id, start, stop, edits) of every copy of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``.
+def leaks(docs: DataFrame, benchmark: DataFrame, part: int = PART, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ``keep``, item_id, start, stop, edits) of every copy of ``benchmark(item_id, text)`` in ``docs(doc_id, text)``.
 
     Texts are compared by their letters and digits in lower case; start and stop are places in the document's
     own text. A copy is a whole item within EDITS hundredths of its length in insertions, deletions and
@@ -195,11 +196,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, part: int = PART) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // part) or 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col("text").cast("string").alias("text"))
+    kind = W.with_columns(texts, ["doc_id", *keep], "item_id long, start long, stop long, edits long")
     out = None
     for i in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i).collect()
         known = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows]))
-        found = texts.mapInArrow(_search(known), "doc_id long, item_id long, start long, stop long, edits long")
+        found = texts.mapInArrow(_search(known), kind)
         out = found if out is None else out.unionByName(found)
     return out

@@ -71,17 +71,17 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.judged(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-def sampled_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_features, log_weight, key and kept of every document; the target is labelled good.
+def sampled_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, n_features, log_weight, key and kept of every document; the target is labelled good.
 
     Null and empty texts have no feature and are never kept.
     """
     good = importance.bounded_target(labels.where("quality = 1").select("doc_id"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
+    marked = docs.select("doc_id", "text", *keep).join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")
     ratios = importance.log_ratios(marked)
-    weights = staged(importance.weighted(marked, ratios, ["doc_id", "target"]))
+    weights = staged(importance.weighted(marked, ratios, ["doc_id", *keep, "target"]))
     k = importance.room(weights)
-    return importance.resampled(weights, k).select("doc_id", "n_features", "log_weight", "key", "kept")
+    return importance.resampled(weights, k).select("doc_id", *keep, "n_features", "log_weight", "key", "kept")
 
 
 @query

@@ -162,6 +162,29 @@ def test_pipeline_stages(spark, odd, nothing, sf):
     assert not {1, 2, 3, 4, 8, 9} & left
 
 
+def test_pipeline_without_and_with_repeated_doc_ids(spark, sf):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["text"])
+    given = docs.collect()
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    clean = [r.text for r in given if labels.get(r.doc_id) == 1 and len(r.text) > 500][:8]
+    rows = [(i, f"{t} {j}") for j, t in enumerate(clean) for i in (None, 7)]
+    bad = [(None, f"{clean[0]} {leak} one"), (7, f"{clean[1]} {leak} two")]
+    make = lambda x: spark.createDataFrame(x, "doc_id long, text string")
+    left = corpus_pipeline.decontamination(spark, make(rows + bad), sf).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(str(r) for r in rows if leak not in r[1])
+    words = [" ".join(f"{chr(97 + i)}{j}" for j in range(40)) for i in range(4)]
+    many = [(None, words[0]), (None, words[0]), (3, words[0]), (5, words[1]), (5, words[1]), (5, words[2]), (None, words[3]), (None, words[3]), (None, ""), (None, "")]
+    left = corpus_pipeline.near_duplicates(spark, make(many), sf).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(3, words[0]), (5, words[1]), (5, words[2]), (None, words[3]), (None, "")]))
+    # quality: what the operator says of each text by itself
+    mixed = docs.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id"), "text")
+    judged = {(r.doc_id, r.digest): r.kept for r in queries.sampled_quality(corpus_pipeline.keyed(mixed), spark.read.parquet(f"{sf}/labels.parquet"), ("digest",)).collect()}
+    left = {(r.doc_id, r.digest) for r in corpus_pipeline.keyed(corpus_pipeline.quality(spark, mixed, sf)).collect()}
+    assert left == {x for x, kept in judged.items() if kept}
+    assert {kept for (i, _), kept in judged.items() if i is None} == {True, False}
+
+
 def test_pipeline_over_the_given_documents(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     ids = {r.doc_id for r in rows}
