@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, neardup
+from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, merkle, neardup
 from rosterlens.llm import words as W
 from rosterlens.session import drop_at_end, shared_folder, staged
 
@@ -125,6 +125,65 @@ def op6_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parsed(raw.drop("role"), model)
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place under one root, and what its proof says once some texts were tampered with."""
+    made = merkle.manifest(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def _framed_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: crc32 of a decimal number, bit by bit.
+_CRC_SQL = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ord(ch)::BIGINT),
+  lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, i: xor(b >> 1, 3988292384 * (b & 1)))), 4294967295)"""
+
+#: Trees by recursion over levels; every leaf then climbs its source's tree and that of the sources.
+SQL["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (
+    SELECT doc_id, source, {_framed_sql("text")} AS leaf, crc32_of AS c,
+      CASE WHEN crc32_of % 5 = 0 THEN {_framed_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad
+    FROM (SELECT *, {_CRC_SQL} AS crc32_of FROM documents))),
+t(lvl, source, pos, h) AS (
+  SELECT 0, source, pos, leaf FROM d
+  UNION ALL
+  SELECT lvl + 1, source, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM t) WHERE n > 1 GROUP BY lvl, source, pos // 16),
+s AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+  FROM (SELECT source, arg_max(h, lvl) AS h FROM t GROUP BY source)),
+u(lvl, pos, h) AS (
+  SELECT 0, pos, subroot FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY lvl, pos // 16),
+r AS (SELECT arg_max(h, lvl) AS root FROM u),
+g AS (  -- runs of both trees; the upper one's levels stand behind those of its sources
+  SELECT 0 AS part, lvl, source, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM t
+  WHERE (coalesce(source, ''), source IS NULL, lvl) NOT IN (SELECT coalesce(source, ''), source IS NULL, max(lvl) FROM t GROUP BY source)
+  GROUP BY ALL
+  UNION ALL
+  SELECT 1, lvl, NULL, pos // 16, list(h ORDER BY pos) FROM u WHERE lvl < (SELECT max(lvl) FROM u) GROUP BY ALL),
+f(doc_id, source, leaf, part, lvl, pos, acc, proof) AS (
+  SELECT doc_id, source, leaf, 0, 0, pos, coalesce(bad, leaf), '' FROM d
+  UNION ALL
+  SELECT f.doc_id, f.source, f.leaf,
+    CASE WHEN g.hs IS NULL THEN f.part + 1 ELSE f.part END, CASE WHEN g.hs IS NULL THEN 0 ELSE f.lvl + 1 END,
+    CASE WHEN g.hs IS NULL THEN s.pos ELSE f.pos // 16 END,
+    CASE WHEN g.hs IS NULL THEN acc ELSE sha256(array_to_string(hs[:f.pos % 16], '') || acc || array_to_string(hs[f.pos % 16 + 2:], '')) END,
+    CASE WHEN g.hs IS NULL THEN proof ELSE proof || array_to_string(hs[:f.pos % 16], '') || array_to_string(hs[f.pos % 16 + 2:], '') END
+  FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN g ON g.part = f.part AND g.lvl = f.lvl AND g.run = f.pos // 16 AND (f.part = 1 OR g.source IS NOT DISTINCT FROM f.source)
+  WHERE f.part < 2)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source, r WHERE f.part = 2
+"""
+
+
 #: All pairs that share a shingle, and the closure of the links: the same result by plain counting.
 SQL["op9_minhash_near_dedup"] = """
 WITH RECURSIVE w AS (
