@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, merkle, neardup
+from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, merkle, neardup, repeats
 from rosterlens.llm import words as W
 from rosterlens.session import drop_at_end, shared_folder, staged
 
@@ -132,6 +132,13 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+@query
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that a window of 20 repeats from an earlier place."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _framed_sql(text: str) -> str:
     parts = [f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)]
     return f"sha256({' || '.join(parts)})"
@@ -184,6 +191,20 @@ FROM f JOIN s ON s.source IS NOT DISTINCT FROM f.source, r WHERE f.part = 2
 """
 
 
+#: All windows, each but the first of its words marked, and the words they cover taken out.
+SQL["op13_repeated_passages"] = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM w, unnest(range(1, len(ws) - 18)) AS t(i)),
+m AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM g),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM m WHERE nth > 1),
+o AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT o.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY o.p) FILTER (c.p IS NULL) AS kept
+      FROM o LEFT JOIN c ON c.doc_id = o.doc_id AND c.p = o.p GROUP BY o.doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
 #: All pairs that share a shingle, and the closure of the links: the same result by plain counting.
 SQL["op9_minhash_near_dedup"] = """
 WITH RECURSIVE w AS (

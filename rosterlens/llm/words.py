@@ -109,13 +109,21 @@ def spans(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(octets: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of at most 65,536 bytes: a random factor for each byte at each place, summed."""
+    """A 64-bit hash of each word: a random factor for each byte at each place, summed.
+
+    A word of more bytes than there are places is hashed by itself, so that bytes far apart are not mistaken
+    for each other.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
     lengths = ends - starts
     firsts = np.cumsum(lengths) - lengths
     inside = np.flatnonzero(~_WHITE[octets])
     place = np.arange(len(inside)) - np.repeat(firsts, lengths)
-    if int(lengths.max()) > len(_OF_PLACE):
+    longer = np.flatnonzero(lengths > len(_OF_PLACE))
+    if len(longer):
         place %= len(_OF_PLACE)
-    return mixed(np.add.reduceat(_OF_BYTE[octets[inside]] * _OF_PLACE[place], firsts) + lengths.astype(np.uint64))
+    out = mixed(np.add.reduceat(_OF_BYTE[octets[inside]] * _OF_PLACE[place], firsts) + lengths.astype(np.uint64))
+    for i in longer.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(octets[starts[i] : ends[i]].tobytes())
+    return out
