@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, merkle, neardup, repeats
+from rosterlens.llm import bands, bitplanes, bpe, chat, decontaminate, importance, langid, licenses, lm, merkle, neardup, repeats, whitening
 from rosterlens.llm import words as W
 from rosterlens.session import drop_at_end, shared_folder, staged
 
@@ -125,6 +125,12 @@ def op6_chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.parsed(raw.drop("role"), model)
 
 
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding, with the error of their covariance."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place under one root, and what its proof says once some texts were tampered with."""
