@@ -27,6 +27,8 @@ ABILITY_BLOCK = 1024
 class Fit2PL:
     theta: DataFrame  # (model_id, theta)
     items: DataFrame  # (question_id, a, b)
+    moved: float = 0.0  # largest change in the last round
+    converged: bool = True
 
 
 def _clip(x: Column) -> Column:
@@ -69,7 +71,8 @@ def item_step(cells: DataFrame, theta: DataFrame, items: DataFrame, scale: float
 def fit_2pl(cells: DataFrame, seed: int = 0, rounds: int = 12, tolerance: float = 1e-2) -> Fit2PL:
     """Alternating Newton fit; the start is a small hashed ability plus the model's mean, a = 1.
 
-    Ends when neither an ability nor an item moves by more than ``tolerance``, or after ``rounds`` rounds.
+    Ends when neither an ability nor an item moves by more than ``tolerance``, or after ``rounds`` rounds; the fit
+    says how far the last round moved and whether that was within the tolerance.
     """
     c = cut_lineage(cells.select("model_id", "question_id", "correct"))
     counts = c.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("model_id").alias("m"), F.countDistinct("question_id").alias("q")).first()
@@ -84,6 +87,7 @@ def fit_2pl(cells: DataFrame, seed: int = 0, rounds: int = 12, tolerance: float
         "question_id", F.lit(1.0).alias("a"), F.ln((F.col("m") + 0.01) / (1.01 - F.col("m"))).alias("b")
     )
     items = cut_lineage(items)
+    moved = float("inf")
     for _ in range(rounds):
         new_items = cut_lineage(item_step(c, theta, items, item_scale))
         new_theta = cut_lineage(ability_step(c, theta, new_items, theta_scale))
@@ -93,7 +97,7 @@ def fit_2pl(cells: DataFrame, seed: int = 0, rounds: int = 12, tolerance: float
         items, theta = new_items, new_theta
         if moved <= tolerance:
             break
-    return Fit2PL(theta, items)
+    return Fit2PL(theta, items, moved, moved <= tolerance)
 
 
 def objective(cells: DataFrame, fit: Fit2PL) -> DataFrame:
