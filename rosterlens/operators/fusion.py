@@ -513,44 +513,60 @@ def turned_blocks(df: DataFrame, key: str, by: dict[int, np.ndarray]) -> DataFra
     return df.mapInPandas(apply, f"{key} {dict(df.dtypes)[key]}, blocks array<array<double>>")
 
 
-def bits_components(g: Gathered, width: int, seed: int = 0, rounds: int = 4, extra: int = 8) -> DataFrame:
-    """(run, model_id, side, vec): principal components of every run's training bits; its own models placed by ridge.
+def subspace_loadings(cells: DataFrame, folds: int, width: int, seed: int = 0, rounds: int = 4, extra: int = 8) -> DataFrame:
+    """(run, question_id, vec): leading directions of each run's training bits; largest entries positive.
 
-    Subspace iteration with the run as a block of one wide table, so all runs share each product.
+    Subspace iteration with the run as a block of one wide table, so all runs share each product. A run can be anything that
+    centred cells have a value of their own for: a fold, or a draw of questions.
     """
     from rosterlens.functions.draws import normal
 
     n = width + extra
     start = F.array(*[normal(seed, "omega", F.col("question_id"), F.lit(j)) for j in range(n)])
-    q = staged(g.cells.select("question_id").distinct().select("question_id", F.array_repeat(start, g.folds).alias("blocks")))
+    q = staged(cells.select("question_id").distinct().select("question_id", F.array_repeat(start, folds).alias("blocks")))
 
-    def grams(df: DataFrame, key: str) -> dict[int, np.ndarray]:
+    def grams(df: DataFrame) -> dict[int, np.ndarray]:
         return keyed_matrices(df.select(F.posexplode("blocks").alias("run", "x")), "run", "x")
 
     def orthonormal(df: DataFrame, key: str) -> DataFrame:
         by = {}
-        for run, m in grams(df, key).items():
+        for run, m in grams(df).items():
             lam, u = np.linalg.eigh(m)
-            keep = lam > lam.max() * 1e-14
+            keep = lam > max(lam.max(), 0) * 1e-14
             by[run] = np.zeros_like(u)
             by[run][:, : keep.sum()] = u[:, keep] / np.sqrt(lam[keep])
         return turned_blocks(df, key, by)
 
     for _ in range(rounds):
-        y = to_models(g.cells, q, g.folds, n)
-        q = staged(orthonormal(staged(to_questions(g.cells, y, g.folds, n)), "question_id"))
-    y = to_models(g.cells.withColumn("v", F.transform("v", lambda x, f: F.when(f == F.col("fold"), F.lit(0.0)).otherwise(x))), q, g.folds, n)
+        y = to_models(cells, q, folds, n)
+        q = staged(orthonormal(staged(to_questions(cells, y, folds, n)), "question_id"))
+    seen = F.transform("v", lambda x, f: F.when(f == F.col("fold"), F.lit(0.0)).otherwise(x))
+    y = to_models(cells.withColumn("v", seen), q, folds, n)
     rot = {}
-    for run, m in grams(y, "model_id").items():
+    for run, m in grams(y).items():
         lam, u = np.linalg.eigh(m)
         rot[run] = u[:, np.argsort(-lam)[:width]]
     loads = staged(turned_blocks(q, "question_id", rot)).select("question_id", F.posexplode("blocks").alias("run", "vec"))
     peaks = loads.select("run", F.posexplode("vec").alias("j", "x"), "question_id").groupBy("run", "j").agg(F.max_by("x", F.struct(F.abs("x"), "question_id")).alias("x"))
-    signs = {run: np.ones(width) for run in range(g.folds)}
-    for r in peaks.collect():
-        signs[r["run"]][r["j"]] = -1.0 if r["x"] < 0 else 1.0
-    held = F.array(*[F.array(*[F.lit(float(s)) for s in signs[run]]) for run in range(g.folds)])
-    loads = loads.withColumn("vec", F.zip_with("vec", held[F.col("run")], lambda x, s: x * s))
+    signs = peaks.groupBy("run").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda p: F.when(p["x"] < 0, F.lit(-1.0)).otherwise(1.0)).alias("s"))
+    return loads.join(signs, "run").select("run", "question_id", F.zip_with("vec", "s", lambda x, s: x * s).alias("vec"))
+
+
+def bits_components(g: Gathered, width: int, seed: int = 0, rounds: int = 4, extra: int = 8) -> DataFrame:
+    """(run, model_id, side, vec): principal components of every run's training bits; its own models placed by ridge."""
+    loads = subspace_loadings(g.cells, g.folds, width, seed, rounds, extra)
     scores = bit_scores(g, loads, {run: width for run in range(g.folds)}).join(g.models.select("model_id", "fold"), "model_id")
     side = F.when(F.col("run") == F.col("fold"), "test").otherwise("train")
     return scores.select("run", "model_id", side.alias("side"), "vec")
+
+
+def keyed_components(cells: DataFrame, keys: int, width: int, seed: int = 0, rounds: int = 4, extra: int = 8) -> DataFrame:
+    """(key, model_id, vec): component scores of ``keys`` tables at once; cells(model_id, question_id, v array by key), centred.
+
+    A cell that a key's table lacks is 0 there.
+    """
+    cells = cells.withColumn("fold", F.lit(ALWAYS))
+    loads = subspace_loadings(cells, keys, width, seed, rounds, extra)
+    held = loads.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "vec"))), lambda x: x["vec"]).alias("blocks"))
+    scores = to_models(cells, held, keys, width)
+    return scores.select("model_id", F.posexplode("blocks").alias("key", "vec")).select("key", "model_id", "vec")

@@ -168,6 +168,40 @@ def correctness_residual(measures: DataFrame, train: Column, ridge: float = 1e-6
     )
 
 
+def residual_out_of_fold(measures: DataFrame, plan: DataFrame, ridge: float = 1e-6, min_rows: int = 4) -> DataFrame:
+    """Adds ``residual`` as `correctness_residual` does, every row by a fit that saw no model of its fold; ``plan(model_id, fold)``.
+
+    The sums of a question's two-coefficient ridge are kept by fold, so a fold's fit is the total less its own sums: one
+    aggregate for all folds, and no fit is run per fold. A cell without correctness stands at the fit's mean.
+    """
+    rows = measures.join(plan.select("model_id", "fold"), "model_id")
+    y, c = F.col("rm"), F.col("correct").cast("double")
+    both = y.isNotNull() & c.isNotNull()
+    y, c = F.when(both, y), F.when(both, c)
+    terms = {"n": F.count(y), "sy": F.sum(y), "sc": F.sum(c), "scc": F.sum(c * c), "scy": F.sum(c * y)}
+    own = rows.groupBy("question_id", "fold").agg(*[F.coalesce(t, F.lit(0)).alias(k) for k, t in terms.items()])
+    total = own.groupBy("question_id").agg(*[F.sum(k).alias(f"all_{k}") for k in terms])
+    fit = own.join(total, "question_id").select("question_id", "fold", *[(F.col(f"all_{k}") - F.col(k)).alias(k) for k in terms])
+    lam = F.lit(ridge) * (F.col("n") + F.col("scc")) / 2.0
+    a, b, d = F.col("n") + lam, F.col("sc"), F.col("scc") + lam
+    det = a * d - b * b
+    fit = fit.select(
+        "question_id", "fold", "n",
+        # a bit that is everywhere the same: its spread n * scc - sc^2 is 0
+        (F.col("n") * F.col("scc") - b * b <= 1e-9 * F.greatest(F.col("n") * F.col("scc"), F.lit(1.0))).alias("flat"),
+        F.try_divide("sy", "n").alias("mean_y"),
+        F.try_divide("sc", "n").alias("mean_c"),
+        F.try_divide(d * F.col("sy") - b * F.col("scy"), det).alias("b0"),
+        F.try_divide(a * F.col("scy") - b * F.col("sy"), det).alias("b1"),
+    )
+    cj = F.coalesce(F.col("correct").cast("double"), F.col("mean_c"))
+    residual = F.when(F.col("n") < min_rows, None).when(F.col("flat"), F.col("rm") - F.col("mean_y")).otherwise(
+        F.col("rm") - (F.col("b0") + F.col("b1") * cj)
+    )
+    out = rows.join(fit, ["question_id", "fold"]).withColumn("residual", residual)
+    return out.drop("n", "flat", "mean_y", "mean_c", "b0", "b1")
+
+
 def labels_long(models: DataFrame, boards: DataFrame, aliases: DataFrame) -> DataFrame:
     """(board, model_id, value) of every board at once; only listed models have a row.
 

@@ -6,58 +6,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.draws import draw_index, keyed_hash
-from rosterlens.session import cut_lineage
+from rosterlens.session import cut_lineage, staged, unstaged
 
 MIN_GB = 1e-6
+#: Budgets in GB, the one in the headline, half-splits, random squads a walk and permuted banks a half-split. Fixed values.
+BUDGETS, HEADLINE = (24.0, 48.0, 80.0, 160.0), 24.0
+DRAWS, SQUADS, PERMUTED = 10, 20, 40
 
 
-def best_row(rows: DataFrame, squad: list) -> DataFrame:
-    """(question_id, best): the best accuracy of the squad on each question it covers."""
-    return rows.filter(F.col("model_id").isin(squad)).groupBy("question_id").agg(F.max("a").alias("best"))
+def greedy(rows: DataFrame, cost: DataFrame, walks: DataFrame) -> DataFrame:
+    """(walk, step, model_id, gb) of the picks of every walk: most gain per weight first, while affordable and gaining.
 
-
-def coverage(rows: DataFrame, squad: list, n_questions: int) -> float:
-    """Mean over the questions of the squad's best accuracy; an uncovered question counts 0."""
-    if not squad:
-        return 0.0
-    return float(best_row(rows, squad).agg(F.sum("best")).first()[0] or 0.0) / n_questions
-
-
-def greedy(rows: DataFrame, cost: DataFrame, budget: float) -> list:
-    """The chosen model ids: most gain per weight first, while affordable and gaining.
-
-    rows(model_id, question_id, a), cost(model_id, gb). A step is one aggregate over all
-    candidates against the current best row; the list of picks is as long as the squad. A single
-    model better than the whole squad replaces it. Ties go to the higher id.
+    rows(bank, model_id, question_id, a), cost(model_id, gb), walks(walk, bank, budget): a walk reads one bank under one
+    budget. All walks take their next step together, so the jobs are as many as the longest squad has members. Gains
+    only shrink, so a candidate's gain at an earlier step bounds what it gains now. A step evaluates each walk's candidate of
+    the highest bound, then those whose bound is not below that gain; the others are left as they are. Ratios are
+    rounded to 12 digits; ties go to the higher id. A single model better than the whole squad replaces it.
     """
-    rows = cut_lineage(rows)
-    chosen: list = []
-    spent = 0.0
+    rows = staged(rows.select("bank", "model_id", "question_id", "a").where("a is not null").join(cost, "model_id"))
+    state = staged(walks.select("walk", "bank", F.col("budget").cast("double").alias("room"), F.lit(0).alias("step")))
+    first = state
+    ratio = lambda gain: F.round(gain / F.greatest("gb", F.lit(MIN_GB)), 12)
+    alone = staged(rows.groupBy("bank", "model_id", "gb").agg(F.round(F.sum("a"), 12).alias("t"), F.sum(F.greatest("a", F.lit(0.0))).alias("gain")))
+    bounds = staged(state.select("walk", "bank").join(alone, "bank").select("walk", "bank", "model_id", "gb", ratio(F.col("gain")).alias("bound")))
+    best, picks, used = None, None, []
+
+    def gains(of: DataFrame) -> DataFrame:
+        """(walk, bank, model_id, gb, bound) of candidates ``of``, the bound evaluated against the walk's best row."""
+        own = of.select("walk", "bank", "model_id").join(rows, ["bank", "model_id"])
+        left = F.col("a") if best is None else F.col("a") - F.coalesce("best", F.lit(0.0))
+        own = own if best is None else own.join(best, ["walk", "question_id"], "left")
+        sums = own.groupBy("walk", "bank", "model_id", "gb").agg(F.sum(F.greatest(left, F.lit(0.0))).alias("gain"))
+        return sums.select("walk", "bank", "model_id", "gb", ratio(F.col("gain")).alias("bound"))
+
     while True:
-        room = cost.filter(F.col("gb") <= budget - spent)
-        if chosen:
-            room = room.filter(~F.col("model_id").isin(chosen))
-            left = rows.join(best_row(rows, chosen), "question_id", "left")
+        open_ = bounds.join(state.select("walk", "room"), "walk").where("gb <= room")
+        if best is None:
+            fresh = staged(open_.select("walk", "bank", "model_id", "gb", "bound"))
         else:
-            left = rows.withColumn("best", F.lit(0.0))
-        gain = F.sum(F.greatest(F.col("a") - F.coalesce("best", F.lit(0.0)), F.lit(0.0)))
-        step = (
-            left.join(room, "model_id").groupBy("model_id", "gb").agg(gain.alias("gain"))
-            .withColumn("ratio", F.round(F.col("gain") / F.greatest("gb", F.lit(MIN_GB)), 12))
-            .agg(F.max_by(F.struct("model_id", "gb", "ratio"), F.struct("ratio", "model_id")).alias("p"))
-            .first()["p"]
-        )
-        if step is None or step["ratio"] <= 0:
+            top = open_.groupBy("walk").agg(F.max_by(F.struct("bank", "model_id"), F.struct("bound", "model_id")).alias("p"))
+            found = gains(top.select("walk", "p.bank", "p.model_id")).select("walk", F.col("bound").alias("least"))
+            fresh = staged(gains(open_.join(found, "walk").where("bound >= least")))
+        pick = fresh.where("bound > 0").groupBy("walk").agg(F.max_by(F.struct("bank", "model_id", "gb"), F.struct("bound", "model_id")).alias("p"))
+        pick = staged(pick.join(state, "walk").select("walk", "bank", "step", "p.model_id", "p.gb", (F.col("room") - F.col("p.gb")).alias("room")))
+        if pick.isEmpty():
             break
-        chosen.append(step["model_id"])
-        spent += step["gb"]
-    total = rows.join(cost.filter(F.col("gb") <= budget), "model_id").groupBy("model_id").agg(F.round(F.sum("a"), 12).alias("t"))
-    single = total.agg(F.max_by(F.struct("model_id", "t"), F.struct("t", -F.col("model_id"))).alias("s")).first()["s"]
-    if single is not None:
-        squad_total = float(best_row(rows, chosen).agg(F.sum("best")).first()[0] or 0.0) if chosen else -1.0
-        if single["t"] > squad_total + 1e-9:
-            return [single["model_id"]]
-    return chosen
+        taken = pick.select("walk", "step", "model_id", "gb")
+        picks = taken if picks is None else picks.unionByName(taken)
+        gained = pick.select("walk", "bank", "model_id").join(rows, ["bank", "model_id"]).select("walk", "question_id", F.col("a").alias("best"))
+        every = gained if best is None else best.join(pick.select("walk"), "walk", "left_semi").unionByName(gained)
+        new = staged(every.groupBy("walk", "question_id").agg(F.max("best").alias("best")))
+        # a walk that found no gain is over; what it held is in its picks
+        kept = bounds.join(fresh.select("walk", "model_id", F.col("bound").alias("now")), ["walk", "model_id"], "left")
+        kept = kept.withColumn("bound", F.coalesce("now", "bound")).drop("now")
+        kept = kept.join(pick.select("walk", "model_id"), ["walk", "model_id"], "left_anti").join(pick.select("walk"), "walk", "left_semi").where("bound > 0")
+        kept = staged(kept.select("walk", "bank", "model_id", "gb", "bound"))
+        used += [x for x in (best, bounds, fresh) if x is not None]
+        best, bounds = new, kept
+        state = staged(pick.select("walk", "bank", "room", (F.col("step") + 1).alias("step")))
+    if picks is None:
+        picks = first.join(alone, "bank").select("walk", "step", "model_id", "gb").limit(0)
+    picks = staged(picks)
+    for x in used:
+        unstaged(x)
+    total = squad_rows(rows, picks.join(first.select("walk", "bank"), "walk")).groupBy("walk").agg(F.sum("best").alias("total"))
+    single = first.join(alone, "bank").where("gb <= room").groupBy("walk").agg(F.max_by(F.struct("model_id", "gb", "t"), F.struct("t", -F.col("model_id"))).alias("s"))
+    over = staged(single.join(total, "walk", "left").where(F.col("s.t") > F.coalesce("total", F.lit(-1.0)) + 1e-9).select("walk", "s.model_id", "s.gb"))
+    return picks.join(over.select("walk"), "walk", "left_anti").unionByName(over.select("walk", F.lit(0).alias("step"), "model_id", "gb"))
+
+
+def squad_rows(rows: DataFrame, squads: DataFrame) -> DataFrame:
+    """(walk, question_id, best): the best accuracy of each squad of squads(walk, bank, model_id) on each question it covers."""
+    own = squads.select("walk", "bank", "model_id").join(rows.select("bank", "model_id", "question_id", "a"), ["bank", "model_id"])
+    return own.groupBy("walk", "question_id").agg(F.max("a").alias("best"))
+
+
+def random_squads_of(cost: DataFrame, walks: DataFrame, squads: int, seed: int) -> DataFrame:
+    """members(walk, squad, model_id, gb) of ``squads`` random squads for each of walks(walk, draw, budget, size).
+
+    Models in a hashed order, each taken if it still fits, up to the walk's size. An order belongs to (draw, squad), so walks
+    of one draw under different budgets read the same orders. All squads take their next member together.
+    """
+    state = walks.where("size > 0").select("walk", "draw", "size", F.col("budget").cast("double").alias("room"), draw_index(1, squads).alias("squad"), F.lit(-1).cast("bigint").alias("at"))
+    state = staged(state)
+    drawn = staged(state.select("draw", "squad").distinct())
+    order = cost.select("model_id", "gb", draw_index(1, squads).alias("squad")).join(drawn, "squad")
+    order = staged(order.withColumn("h", keyed_hash(seed, "squad", F.col("draw"), F.col("squad"), F.col("model_id"))))
+    members, seat = None, 0
+    while True:
+        offers = state.select("walk", "draw", "size", "room", "squad", "at").where(F.col("size") > seat).join(order, ["draw", "squad"]).where("gb <= room and h > at")
+        nxt = offers.groupBy("walk", "draw", "squad", "size", "room").agg(F.min_by(F.struct("model_id", "gb", "h"), "h").alias("p"))
+        state = staged(nxt.select("walk", "draw", "squad", "size", (F.col("room") - F.col("p.gb")).alias("room"), F.col("p.h").alias("at"), "p.model_id", "p.gb"))
+        if state.isEmpty():
+            break
+        taken = state.select("walk", "squad", "model_id", "gb")
+        members = taken if members is None else members.unionByName(taken)
+        seat += 1
+    return state.select("walk", "squad", "model_id", "gb") if members is None else members
 
 
 def random_squads(cost: DataFrame, budget: float, size: int, squads: int, seed: int) -> DataFrame:

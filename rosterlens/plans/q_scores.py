@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rosterlens.operators import intervals as IV
 from rosterlens.operators import scores as S
 from rosterlens.plans.common_sql import CELLS, h
 from rosterlens.plans.q_cells import near, rounded
+from rosterlens.plans.q_splits import MIDRANK
 from rosterlens.plans.registry import query
+from rosterlens.session import staged
 from rosterlens.sources import tables as T
 
 #: Return flag + line status -> arm.
@@ -384,3 +387,23 @@ def attach_diagnostics(spark, sf):
     pooled = diagnostics(spark, sf).filter("method <> 'arm48'").groupBy("method").agg(S.agreed("emb_dim").alias("emb_dim"))
     means = results(spark, sf).groupBy("method", "task").agg(F.avg("value").alias("mean"))
     return rounded(means.join(pooled, "method", "left").select("method", "task", "mean", "emb_dim"), "mean")
+
+
+@query(
+    "bootstrap_ranks",
+    f"""WITH {CELLS}, m AS (SELECT model_id, round(avg(acc), 2) AS y, round(avg(correct), 2) AS p FROM cells GROUP BY 1), {boot_slots('m', '', 'model_id', 20, 'ci')},
+    x AS (SELECT draw, y, p, unnest(range(times)) AS copy FROM b_times JOIN m USING (model_id)),
+    r AS (SELECT *, {MIDRANK.format(k='draw', x='y')} AS ry, {MIDRANK.format(k='draw', x='p')} AS rp FROM x)
+    SELECT (draw - 1)::INT AS draw, round(corr(ry, rp), 6) AS spearman,
+      round((sum(rp) FILTER (y >= 0.5) - (count(*) FILTER (y >= 0.5))::DOUBLE * (count(*) FILTER (y >= 0.5) + 1) / 2) / ((count(*) FILTER (y >= 0.5))::DOUBLE * (count(*) FILTER (y < 0.5))), 6) AS auroc,
+      round(1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)), 6) AS r2, round(avg(y), 6) AS mean FROM r GROUP BY 1""",
+)
+def bootstrap_ranks(spark, sf):
+    """Spearman, AUROC, R2 and mean in twenty resamples of the models, from one vector of counts for each model."""
+    m = T.cells(spark, sf).groupBy("model_id").agg(F.round(F.avg("acc"), 2).alias("y"), F.round(F.avg("correct"), 2).alias("p"))
+    held = staged(IV.weighted(m, IV.draw_weights(m.select("model_id"), "model_id", 20), "model_id", ["model_id"]))
+    out = None
+    for name in ("spearman", "auroc", "r2", "mean"):
+        own = IV.STATISTICS[name](held).withColumnRenamed("stat", name)
+        out = own if out is None else out.join(own, "draw")
+    return rounded(out, "spearman", "auroc", "r2", "mean")

@@ -394,4 +394,3 @@ def model_class(spark, sf):
     return T.models(spark, sf).select(
         "model_id", "name", cls("name", markers).alias("model_class"), generation_budget("name", markers).alias("b")
     ).select("model_id", "name", "model_class", "b.max_new_tokens", "b.temperature")
-

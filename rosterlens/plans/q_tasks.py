@@ -12,11 +12,12 @@ from rosterlens.operators import irt as I
 from rosterlens.operators import portfolio as PF
 from rosterlens.operators import selection as K
 from rosterlens.operators import tasks as TK
+from rosterlens.operators import traits as TR
 from rosterlens.operators.labels import labels_long
 from rosterlens.plans import run as RUN
-from rosterlens.plans.common_sql import CELLS
+from rosterlens.plans.common_sql import CELLS, MODELS
 from rosterlens.plans.q_cells import rounded
-from rosterlens.plans.q_labels import aliases, boards, cards, measures
+from rosterlens.plans.q_labels import BOARDS, S_CARDS, aliases, boards, cards, measures, s_label
 from rosterlens.plans.q_splits import PRED, blocks, predicted
 from rosterlens.plans.q_vectors import ANSWERS, answers, fused, pooled, rounded_vec, train_models
 from rosterlens.plans.registry import query
@@ -48,20 +49,28 @@ def bench(spark, sf) -> TK.Bench:
             labels=cut_lineage(labels),
         )
         run = _RUNS[key]
-        # a supplier's card is its first customer's by key; the other blocks are full tables
+        # every customer card belongs to a supplier, and all of a supplier's cards count
         n = T.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
-        card = cards(spark, sf).select((F.col("card_id") % n).alias("model_id"), "card_id", "c")
-        first = card.groupBy("model_id").agg(F.min_by("c", "card_id").alias("c"))
+        card = cards(spark, sf).select((F.col("card_id") % n).alias("model_id"), "c").select(
+            "model_id",
+            F.col("c.popularity.downloads").cast("double").alias("downloads"),
+            X.log2(F.col("c.architecture.max_position_embeddings").cast("double")).alias("context"),
+            X.days_since_epoch(F.col("c.timestamps.createdAt")).alias("created"),
+            X.architecture_family(F.col("c.architecture.model_type")).alias("architecture"),
+            X.license_type(F.col("c.metadata.license")).alias("license"),
+        )
         run.cache["cards"] = cut_lineage(
-            first.select(
-                "model_id",
-                X.log10_1p(F.col("c.popularity.downloads").cast("double")).alias("hf_downloads"),
-                X.log2(F.col("c.architecture.max_position_embeddings").cast("double")).alias("hf_context_length"),
-                X.days_since_epoch(F.col("c.timestamps.createdAt")).alias("hf_release_date"),
-                X.architecture_family(F.col("c.architecture.model_type")).alias("hf_architecture_family"),
-                X.license_type(F.col("c.metadata.license")).alias("hf_license_type"),
+            card.groupBy("model_id").agg(
+                X.log10_1p(F.sum(F.when(F.col("downloads") >= 0, F.col("downloads")))).alias("hf_downloads"),
+                F.max("context").alias("hf_context_length"),
+                F.min("created").alias("hf_release_date"),
+                F.mode(F.nullif("architecture", F.lit("unknown")), deterministic=True).alias("hf_architecture_family"),
+                F.mode(F.nullif("license", F.lit("unknown")), deterministic=True).alias("hf_license_type"),
             )
         )
+        # the texts of a model's draws, by question
+        said = T.responses(spark, sf).select("model_id", F.col("part_id").cast("string").alias("question_id"), F.col("prediction").alias("text"))
+        run.cache["traits"] = cut_lineage(TR.text_traits(said))
         run.cache["answers"] = cut_lineage(answers(spark, sf))
         run.cache["measures"] = cut_lineage(measures(spark, sf))
     return _RUNS[key]
@@ -141,6 +150,10 @@ for _name in (
     "answer_divergence",
     "model_authorship",
     "rm_style",
+    "rm_mean",
+    "length_profile",
+    "hedge_style",
+    "refusal_rate",
     "specialisation",
     "knapsack",
     "hf_downloads",
@@ -152,6 +165,31 @@ for _name in (
     _register(_name)
 
 
+_SPECS = ", ".join(f"('{t.name}', '{t.group}', '{t.source}', '{t.label}', '{t.folds}', {t.floor})" for t in TK.TASKS.values())
+_BOARD = f"CASE board {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in BOARD_OF.items())} END"
+
+
+@query(
+    "task_skips",
+    f"""WITH {MODELS}, {BOARDS}, {S_CARDS}, {s_label('flag_A', 'la')}, {s_label('flag_N', 'ln')}, {s_label('flag_R', 'lr')},
+    specs(task, grp, source, label, folds, floor) AS (VALUES {_SPECS}),
+    u AS (SELECT 'flag_A' AS board, value FROM la UNION ALL SELECT 'flag_N', value FROM ln UNION ALL SELECT 'flag_R', value FROM lr),
+    seen AS (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem),
+    card AS (SELECT card_id % (SELECT count(*) FROM supplier) AS model_id, downloads, lic FROM cards),
+    counts AS (SELECT 'boards' AS source, {_BOARD} AS label, count(value) AS n FROM u GROUP BY 2
+      UNION ALL SELECT 'measures', 'rm', n FROM seen UNION ALL SELECT '', '', n FROM seen
+      UNION ALL SELECT 'traits', unnest(['log_n_tok', 'hedge_rate', 'refusal_rate']), n FROM seen
+      UNION ALL SELECT 'cards', 'hf_downloads', count(DISTINCT model_id) FROM card JOIN models USING (model_id) WHERE downloads >= 0
+      UNION ALL SELECT 'cards', 'hf_license_type', count(DISTINCT model_id) FROM card JOIN models USING (model_id) WHERE lic <> ''
+      UNION ALL SELECT 'cards', c, n FROM (SELECT count(DISTINCT model_id) AS n FROM card JOIN models USING (model_id)), (SELECT unnest(['hf_context_length', 'hf_release_date', 'hf_architecture_family']) AS c)),
+    j AS (SELECT s.*, coalesce(n, 0)::BIGINT AS n_labelled FROM specs s LEFT JOIN counts c ON c.source = s.source AND c.label = s.label)
+    SELECT *, n_labelled >= floor AS runnable, CASE WHEN n_labelled < floor THEN n_labelled || ' labelled models, ' || floor || ' needed' END AS reason FROM j""",
+)
+def task_skips(spark, sf):
+    """Every task with how many models its label covers, and why it can't run where it can't."""
+    return TK.task_table(bench(spark, sf))
+
+
 @query("task_boards")
 def task_boards(spark, sf):
     """Every label-driven task; those without labels on this run say so in a note."""
@@ -220,17 +258,13 @@ def costs(spark, sf):
 def greedy_portfolio(spark, sf):
     """The squad a greedy max-coverage walk picks under 24, 48, 80 and 160 GB, and its oracle-routed accuracy."""
     cost = cut_lineage(costs(spark, sf))
-    rows = cut_lineage(T.cells(spark, sf).join(cost, "model_id", "left_semi").select("model_id", "question_id", F.col("acc").alias("a")))
-    n = rows.select("question_id").distinct().count()
-    out = []
-    for budget in (24.0, 48.0, 80.0, 160.0):
-        squad = PF.greedy(rows, cost, budget)
-        members = cost.filter(F.col("model_id").isin(squad)).select("model_id", "gb", F.lit(budget).alias("budget_gb"))
-        out.append(members.withColumn("value", F.lit(PF.coverage(rows, squad, n))))
-    df = out[0]
-    for d in out[1:]:
-        df = df.unionByName(d)
-    return rounded(df, "value", "gb")
+    rows = cut_lineage(T.cells(spark, sf).join(cost, "model_id", "left_semi").select(F.lit(0).alias("bank"), "model_id", "question_id", F.col("acc").alias("a")))
+    n = rows.agg(F.countDistinct("question_id")).scalar()
+    walks = spark.createDataFrame([(i, 0, g) for i, g in enumerate(PF.BUDGETS)], "walk int, bank int, budget double")
+    picks = PF.greedy(rows, cost, walks).join(walks, "walk")
+    value = PF.squad_rows(rows, picks).groupBy("walk").agg(F.sum("best").alias("s"))
+    out = picks.join(value, "walk").select("model_id", "gb", F.col("budget").alias("budget_gb"), (F.col("s") / n).alias("value"))
+    return rounded(out, "value", "gb")
 
 
 @query("random_squads")

@@ -161,12 +161,34 @@ def brute_greedy(a, gb, budget):
 
 
 def test_greedy_portfolio(spark):
+    """All walks at once, over three banks and four budgets, against one walk after another."""
     rng = np.random.default_rng(7)
-    a, gb = rng.random((8, 12)), rng.integers(3, 12, 8).astype(float)
-    rows = spark.createDataFrame([(m, q, float(a[m, q])) for m in range(8) for q in range(12)], "model_id bigint, question_id int, a double")
-    cost = spark.createDataFrame([(m, float(gb[m])) for m in range(8)], "model_id bigint, gb double")
-    got = PF.greedy(rows, cost, 20.0)
-    assert got == brute_greedy(a, gb, 20.0)
-    assert np.isclose(PF.coverage(rows, got, 12), a[got].max(0).mean())
+    a, gb = rng.random((3, 9, 14)).round(2), rng.integers(3, 12, 9).astype(float)
+    a[1, :, ::2] = 0
+    a[2, 4] = 1.0  # better alone than any squad
+    rows = spark.createDataFrame([(b, m, q, float(a[b, m, q])) for b in range(3) for m in range(9) for q in range(14)], "bank int, model_id bigint, question_id int, a double")
+    cost = spark.createDataFrame([(m, float(gb[m])) for m in range(9)], "model_id bigint, gb double")
+    budgets = (2.0, 11.0, 20.0, 60.0)
+    spec = [(i, b, g) for i, (b, g) in enumerate((b, g) for b in range(3) for g in budgets)]
+    walks = spark.createDataFrame(spec, "walk int, bank int, budget double")
+    got = PF.greedy(rows, cost, walks)
+    picks = {}
+    for r in sorted(got.collect(), key=lambda r: r["step"]):
+        picks.setdefault(r["walk"], []).append(r["model_id"])
+    values = {r["walk"]: r["s"] for r in PF.squad_rows(rows, got.join(walks, "walk")).groupBy("walk").agg(F.sum("best").alias("s")).collect()}
+    for walk, bank, budget in spec:
+        want = brute_greedy(a[bank], gb, budget)
+        room = [m for m in range(9) if gb[m] <= budget]
+        alone = max(room, key=lambda m: (a[bank, m].sum(), -m)) if room else None
+        if alone is not None and a[bank, alone].sum() > (a[bank, want].max(0).sum() if want else -1) + 1e-9:
+            want = [alone]
+        assert picks.get(walk, []) == want
+        if want:
+            assert np.isclose(values[walk], a[bank, want].max(0).sum())
     squads = PF.random_squads(cost, 20.0, 3, 5, 1).groupBy("squad").agg(F.sum("gb").alias("t"), F.count(F.lit(1)).alias("n"))
     assert squads.count() == 5 and all(r["t"] <= 20 and r["n"] <= 3 for r in squads.collect())
+    sized = spark.createDataFrame([(0, 0, 20.0, 2), (1, 0, 11.0, 3), (2, 1, 20.0, 0)], "walk int, draw int, budget double, size int")
+    many = PF.random_squads_of(cost, sized, 6, 1).groupBy("walk", "squad").agg(F.sum("gb").alias("t"), F.count(F.lit(1)).alias("n"), F.countDistinct("model_id").alias("d")).collect()
+    limit = {0: (20, 2), 1: (11, 3)}
+    assert len(many) == 12
+    assert all(r["n"] == r["d"] <= limit[r["walk"]][1] and r["t"] <= limit[r["walk"]][0] for r in many)
