@@ -22,6 +22,10 @@ LEVEL = 3
 HELD = 300_000
 #: ASCII signs without those of special tokens and shortened words.
 _SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+_IS_SIGN = np.isin(np.arange(256), list(_SIGNS))
+_IS_LETTER = np.isin(np.arange(256), list(range(0x41, 0x5B)) + list(range(0x61, 0x7B)))
+#: Bytes of the longest run whose ids are kept for later texts.
+LONGEST = 256
 
 CHUNKS = (
     "shard int, chunk int, first long, n_ids int, kind string, planes array<binary>, "
@@ -57,7 +61,8 @@ class LibraryIds:
 
     The file's normalizer and pattern never join what ASCII white space parts, nor letters and the ASCII signs
     after them. So the runs' ids one after another are the text's, and ASCII letters may be lower-cased
-    before. All other pieces go to the library as they are.
+    before. Words of ASCII letters and signs after them are parted in the text as a whole, other words one by one. What is
+    neither goes to the library as it is. Ids are kept by the run's hash, for runs of up to LONGEST bytes.
     """
 
     def __init__(self, spec: str, held: int = HELD):
@@ -68,52 +73,101 @@ class LibraryIds:
         self.model.no_truncation()
         self.model.no_padding()
         self.held = held
-        self.pieces, self.old_pieces = {}, {}  # by hash: the newest ``held``, and those before them
-        self.runs, self.old_runs = {b"": b""}, {}
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.known, self.old = {}, {}  # by hash: the newest ``held``, and those before them
 
     @staticmethod
-    def parted(piece: bytes) -> tuple[bytes, bytes]:
-        """Runs whose ids make up the piece's: letters and signs, or the piece alone."""
-        letters = piece.rstrip(_SIGNS)
-        if len(letters) == len(piece) or not letters:
-            return (piece.lower() if piece.isalpha() else piece), b""
-        if letters.isalpha():  # ASCII
-            return letters.lower(), piece[len(letters) :]
+    def parted(word: bytes) -> tuple[tuple[bytes, ...], bool]:
+        """Runs whose ids make up the word's, and whether each is letters only or signs only: letters and signs, or the word alone."""
+        letters = word.rstrip(_SIGNS)
+        if not letters:
+            return (word,), True
         low = letters.decode("utf-8", "replace").lower()  # a letter's lower case may have a mark of its own
-        return (letters, piece[len(letters) :]) if low.isalpha() else (piece, b"")
+        if not low.isalpha():
+            return (word,), False
+        return ((word,) if len(letters) == len(word) else (letters, word[len(letters) :])), True
 
-    def _learn(self, runs: set[bytes]) -> None:
-        new = []
-        for run in runs:
-            if (ids := self.old_runs.get(run)) is None:
-                new.append(run)
-            else:
-                self.runs[run] = ids
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            found = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.runs.update(zip(part, (array("I", x.ids).tobytes() for x in found), strict=True))
+    @staticmethod
+    def runs(octets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(octets, starts, ends, plain, words): a text with its words of ASCII letters lower-cased, cut before the signs that
+        end those; which runs need no further look; and the first run of each word."""
+        starts, ends = W.spans(octets)
+        place = np.arange(len(octets), dtype=np.int32)
+        place[_IS_SIGN[octets]] = -1
+        other = np.maximum.accumulate(place) if len(octets) else place
+        cuts = np.maximum(other[ends - 1] + 1, starts)
+        letters = np.zeros(len(octets) + 1, np.int32)
+        np.cumsum(_IS_LETTER[octets], out=letters[1:])
+        ascii_word = (letters[cuts] - letters[starts] == cuts - starts) & (cuts > starts)
+        two = ascii_word & (cuts < ends)
+        before = np.arange(len(starts)) + np.cumsum(two) - two
+        n = len(starts) + int(two.sum())
+        run_starts, run_ends, plain = np.empty(n, np.int64), np.empty(n, np.int64), np.ones(n, bool)
+        run_starts[before], run_ends[before], plain[before] = starts, np.where(two, cuts, ends), ascii_word
+        run_starts[before[two] + 1], run_ends[before[two] + 1] = cuts[two], ends[two]
+        turns = np.zeros(len(octets) + 1, np.int8)
+        turns[starts[ascii_word]] = 1
+        turns[cuts[ascii_word]] -= 1
+        inside = np.cumsum(turns[:-1], dtype=np.int8).view(bool)
+        return np.where(inside, octets | 0x20, octets), run_starts, run_ends, plain, before
+
+    def _by_library(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of any runs, each by itself."""
+        out = []
+        for start in range(0, len(runs), 20_000):
+            part = [r.decode("utf-8", "replace") for r in runs[start : start + 20_000]]
+            out += [array("I", x.ids).tobytes() for x in self.model.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def _plain_by_library(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs that are letters only or signs only, many to a text.
+
+        Each is one word to the library, whose last token, and no other, has the mark of a word's end. Where the number
+        of marks is not that of the runs, they go by themselves.
+        """
+        out = []
+        for start in range(0, len(runs), 2_000):
+            part = runs[start : start + 2_000]
+            ids = np.array(self.model.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                out += self._by_library(part)
+                continue
+            flat = ids.tobytes()
+            out += [flat[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        if len(self.pieces) > self.held:
-            self.pieces, self.old_pieces = {}, self.pieces
-        if len(self.runs) > self.held:
-            self.runs, self.old_runs = {b"": b""}, self.runs
-        text = b"\n".join(t or b"" for t in texts)
-        octets = np.frombuffer(text, np.uint8)
-        starts, ends = W.spans(octets)
+        if len(self.known) > self.held:
+            self.known, self.old = {}, self.known
+        octets, starts, ends, plain, words = self.runs(np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8))
+        text = octets.tobytes()
         distinct, first, at = np.unique(W.span_hashes(octets, starts, ends), return_index=True, return_inverse=True)
-        found = list(map(self.pieces.get, distinct.tolist()))
+        keys = distinct.tolist()
+        found = list(map(self.known.get, keys))
         new = []
         for i in [i for i, x in enumerate(found) if x is None]:
-            key = int(distinct[i])
-            if (ids := self.old_pieces.get(key)) is None:
-                new.append((i, key, *self.parted(text[starts[first[i]] : ends[first[i]]])))
+            if (ids := self.old.get(keys[i])) is None:
+                new.append(i)
             else:
-                self.pieces[key] = found[i] = ids
-        self._learn({run for _, _, *two in new for run in two if run not in self.runs})
-        for i, key, letters, signs in new:
-            self.pieces[key] = found[i] = self.runs[letters] + self.runs[signs]
+                self.known[keys[i]] = found[i] = ids
+        if new:
+            spots = first[new]
+            cut = [text[a:b] for a, b in zip(starts[spots].tolist(), ends[spots].tolist(), strict=True)]
+            simple, other = np.flatnonzero(plain[spots]).tolist(), np.flatnonzero(~plain[spots]).tolist()
+            parts = [self.parted(cut[j]) for j in other]
+            easy = list({r for runs, alike in parts if alike for r in runs})
+            hard = [runs[0] for runs, alike in parts if not alike]
+            of_run = dict(zip(hard, self._by_library(hard), strict=True))
+            ids = self._plain_by_library([cut[j] for j in simple] + easy)
+            of_run.update(zip(easy, ids[len(simple) :], strict=True))
+            made = [*zip(simple, ids, strict=False), *((j, b"".join([of_run[r] for r in runs])) for j, (runs, _) in zip(other, parts, strict=True))]
+            for j, own in made:
+                found[new[j]] = own
+                if len(cut[j]) <= LONGEST:
+                    self.known[keys[new[j]]] = own
         flat = np.frombuffer(b"".join(found), np.uint32)
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         begins = np.cumsum(lengths) - lengths
@@ -121,8 +175,8 @@ class LibraryIds:
         upto = np.append(0, np.cumsum(own))
         ids = flat[np.arange(upto[-1]) + np.repeat(begins[at] - upto[:-1], own)]
         texts_at = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-        cut = upto[np.searchsorted(starts, texts_at)]
-        return [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        edges = upto[np.searchsorted(starts, texts_at)]
+        return [ids[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _pack(spec, end: int, block: int, kind: str):
@@ -157,7 +211,7 @@ def _pack(spec, end: int, block: int, kind: str):
             ids = [flat[done:]]
             held = len(flat) - done
 
-        for batch in W.pieces(batches, "text", 2 << 20):
+        for batch in W.pieces(batches, "text"):
             encoded = library.encode(W.text_bytes(batch.column("text")))
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 docs.append((row, doc_id, total, len(own) + 1))
@@ -221,22 +275,28 @@ def _bases(chunks: DataFrame) -> DataFrame:
     return totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that lie within one block with their checksum, pieces of the others with their ids."""
-    for batch in batches:
-        for chunk in range(batch.num_rows):
-            r = batch.slice(chunk, 1).to_pylist()[0]
-            ids = from_planes(r["planes"], r["n_ids"], r["kind"])
-            first, stop = r["first"], r["first"] + r["n_ids"]
-            out = []
-            for i, (doc_id, start, n) in enumerate(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True)):
-                own = ids[max(start - first, 0) : start + n - first].tobytes()
-                whole = start >= first and start + n <= stop
-                out.append((r["shard"], r["row"] + i, doc_id, start, n, r["chunk"], zlib.crc32(own) if whole else None, None if whole else own))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, _PIECES.types, strict=True)], schema=_PIECES
-            )
+def _unpack(crossing: bool):
+    """Documents that lie within one block with their checksum, or (``crossing``) pieces of the others with their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in range(batch.num_rows):
+                r = batch.slice(chunk, 1).to_pylist()[0]
+                first, stop, out = r["first"], r["first"] + r["n_ids"], []
+                docs = enumerate(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))
+                here = [(i, d, s, n) for i, (d, s, n) in docs if (s < first or s + n > stop) == crossing]
+                if not here:
+                    continue
+                ids = from_planes(r["planes"], r["n_ids"], r["kind"])
+                for i, doc_id, start, n in here:
+                    own = ids[max(start - first, 0) : start + n - first].tobytes()
+                    out.append((r["shard"], r["row"] + i, doc_id, start, n, r["chunk"], *((None, own) if crossing else (zlib.crc32(own), None))))
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, _PIECES.types, strict=True)], schema=_PIECES
+                )
+
+    return run
 
 
 _PIECES = pa.schema(
@@ -254,24 +314,45 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     under the document's own key.
     """
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
-    pieces = chunks.mapInArrow(
-        _unpack, "shard int, row long, doc_id long, start long, n_tokens long, chunk int, crc long, ids binary"
-    )
-    joined = (
-        pieces.groupBy("shard", "row")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("start").alias("start"),
-            F.first("n_tokens").alias("n_tokens"),
-            F.max("crc").alias("crc"),
-            F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("chunk", "ids")))).alias("parts"),
-        )
-        .withColumn(
-            "crc",
-            F.coalesce("crc", F.crc32(F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["ids"])))),
-        )
+    schema = "shard int, row long, doc_id long, start long, n_tokens long, chunk int, crc long, ids binary"
+    found = ["shard", "row", "doc_id", "start", "n_tokens", "crc"]
+    whole = chunks.mapInArrow(_unpack(False), schema).select(*found)
+    parts = F.sort_array(F.collect_list(F.struct("chunk", "ids")))
+    crossing = (
+        chunks.mapInArrow(_unpack(True), schema)
+        .groupBy("shard", "row")
+        .agg(*[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens")], parts.alias("parts"))
+        .withColumn("crc", F.crc32(F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))))
     )
+    joined = whole.unionByName(crossing.select(*found))
     bases = _bases(chunks.select("shard", "n_ids"))
     return joined.join(bases, "shard").select(
         "doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", F.col("crc").alias("ids_crc32")
     )
+
+
+def read_ids(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(first, ids) of the blocks that hold the ids from ``start`` to before ``stop``, cut to that range.
+
+    The index says which blocks those are; the others' planes are not read, nor are files of shards that hold none.
+    """
+    index = spark.read.parquet(f"{path}/index").where((F.col("first") < stop) & (F.col("first") + F.col("n_ids") > start))
+    edge = index.agg(F.min("shard").alias("low"), F.max("shard").alias("high")).first()
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks").select("shard", "chunk", "kind", "planes")
+    if edge.low is None:
+        chunks = chunks.limit(0)
+    else:
+        chunks = chunks.where(F.col("shard").between(edge.low, edge.high))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = from_planes(r["planes"], r["n_ids"], r["kind"])
+                a, b = max(start - r["first"], 0), min(stop - r["first"], r["n_ids"])
+                yield pa.RecordBatch.from_pydict({"first": [r["first"] + a], "ids": [ids[a:b].astype(np.int64)]}, schema=_RANGE)
+
+    found = chunks.join(index, ["shard", "chunk"]).select("first", "n_ids", "kind", "planes")
+    return found.mapInArrow(run, "first long, ids array<long>")
+
+
+_RANGE = pa.schema([("first", pa.int64()), ("ids", pa.list_(pa.int64()))])

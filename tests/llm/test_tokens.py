@@ -50,6 +50,23 @@ def test_long_words_merge_exactly(library, own, text):
     assert own[0].encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_over_64_kib_that_differ_by_swapped_bytes(library, own):
+    first, second = bytearray(b"abcdefghij" * 7_000), bytearray(b"abcdefghij" * 7_000)
+    second[0], second[1 << 16] = first[1 << 16], first[0]
+    texts = [bytes(first) + b" " + bytes(second), bytes(second), bytes(first), b"X" * 70_000 + b"!" * 70_000]
+    for group in (texts, *([t] for t in texts)):
+        for text, ids in zip(group, own[1].encode(group), strict=True):
+            assert ids.tolist() == library.encode(text.decode(), add_special_tokens=False).ids
+    assert all(len(x) <= 4 * bitplanes.LONGEST for x in own[1].known.values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBcé'!.9 \n<|>"), max_size=30), max_size=6))
+def test_texts_of_a_batch_do_not_mix(library, own, texts):
+    got = own[1].encode([t.encode() for t in texts]) if texts else []
+    assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300), st.sampled_from(["bit", "byte"]))
 def test_planes_round_trip(ids, kind):
@@ -99,6 +116,12 @@ def test_plane_files_of_odd_documents(spark, odd, spec, library, tmp_path, kind,
     index = spark.read.parquet(path + "/index").collect()
     assert sum(r.n_ids for r in index) == at
     assert all(r.n_ids <= block for r in index)
+    every = sorted(tuple(r) for r in bitplanes.read_ids(spark, path, 0, at).collect())
+    flat = np.concatenate([np.array(ids) for _, ids in every])
+    assert len(flat) == at and [f for f, _ in every] == np.cumsum([0, *(len(ids) for _, ids in every[:-1])]).tolist()
+    for a, b in ((0, 1), (at // 3, at // 2), (at - 1, at), (at, at + 5)):
+        part = sorted(tuple(r) for r in bitplanes.read_ids(spark, path, a, b).collect())
+        assert [i for _, ids in part for i in ids] == flat[a:b].tolist()
 
 
 def test_plane_files_of_no_documents(spark, nothing, spec, tmp_path):
