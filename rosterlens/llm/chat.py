@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlens.llm.merkle import numbered
 from rosterlens.session import staged
 
 #: Roles; each is two states: the first line of a turn (2 * i) and a further one (2 * i + 1).
@@ -27,6 +28,8 @@ MARKERS = (
 FEATURES = (5, 6, 2, 3, 4)
 #: Where a transcript is shared out over tasks, a task's piece of one has at most this many lines.
 PIECE = 20_000
+#: Turns that are looked up together when a fit reads the turn before.
+BLOCK = 64
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -165,21 +168,28 @@ def fit(lines: DataFrame) -> Model:
     return Model.fitted(start, move, emit)
 
 
+def held_out(conv_id: str) -> Column:
+    """Whether a conversation is left out of the fit: a quarter, by the crc32 of its id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(conv_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
 def labelled_lines(turns: DataFrame) -> DataFrame:
     """Lines of ``turns(conv_id, turn, tie, role, text)`` with what stands before each, for ``fit``.
 
-    Only the last line and the role of the turn before are taken from elsewhere, within blocks of 64 turns, so no
-    transcript is gathered. A later block's first turn teaches nothing.
+    Turns are numbered within their conversation, so that the turn before is the one numbered one less, whatever gaps the
+    given numbers have. Within blocks of 64 it is looked up in the block; a block's first turn is joined with the last one
+    of the block before. So every turn teaches, and no transcript is gathered.
     """
-    by = Window.partitionBy("conv_id", F.floor(F.col("turn") / 64)).orderBy("turn", "tie")
     code = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1, F.lit(None))
-    lined = turns.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n")).withColumn(
-        "end_state", F.when(code >= 0, 2 * code + F.when(F.size("lines") > 1, 1).otherwise(0))
-    )
-    lined = lined.withColumn("held", F.lag(F.struct(F.element_at("lines", -1).alias("line"), "end_state")).over(by))
-    each = lined.where((F.floor(F.col("turn") / 64) <= 0) | F.col("held").isNotNull()).select(
-        "role", "lines", "held", code.alias("code"), F.posexplode("lines").alias("i", "line")
-    )
+    lined = turns.select(F.col("conv_id").alias("tree"), "turn", "tie", "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    lined = numbered(lined, ["turn", "tie"]).withColumn("code", code)
+    lined = lined.withColumn("end_state", F.when(F.col("code") >= 0, 2 * F.col("code") + F.when(F.size("lines") > 1, 1).otherwise(0)))
+    end = F.struct(F.element_at("lines", -1).alias("line"), "end_state")
+    by = Window.partitionBy("tree", F.expr(f"at div {BLOCK}")).orderBy("at")
+    ends = lined.where(F.pmod("at", F.lit(BLOCK)) == BLOCK - 1).select(F.col("tree").alias("of"), (F.col("at") + 1).alias("next"), end.alias("past"))
+    near = lined.withColumn("held", F.lag(end).over(by))
+    met = near.join(ends, F.col("tree").eqNullSafe(F.col("of")) & (F.col("at") == F.col("next")), "left").withColumn("held", F.coalesce("held", "past"))
+    each = met.select("role", "lines", "held", "code", F.posexplode("lines").alias("i", "line"))
     inside = F.col("i") > 0
     return each.select(
         "role",

@@ -1,6 +1,8 @@
 """Benchmark leaks, licences, chat transcripts and the pipeline."""
 
 import random
+
+import pytest
 import textwrap
 
 import corpus_pipeline
@@ -137,6 +139,51 @@ def test_chat_roles_and_pieces(spark, sf):
     assert sum(found[c] == roles for c, roles in by_conv.items()) >= 0.97 * len(by_conv)
 
 
+def test_roles_of_conversations_the_model_never_saw(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")
+    raw = chat.as_transcript(turns)
+    model = chat.fit(chat.labelled_lines(raw.where(~chat.held_out("conv_id"))))
+    unseen = raw.where(chat.held_out("conv_id"))
+    want, got = {}, {}
+    for r in unseen.orderBy("conv_id", "turn").collect():
+        want.setdefault(r.conv_id, []).append(r.role)
+    for conv, _, role, *_ in sorted(map(tuple, chat.parsed(unseen.drop("role"), model).collect())):
+        got.setdefault(conv, []).append(role)
+    assert len(want) > 100
+    assert sum(got[c] == roles for c, roles in want.items()) >= 0.95 * len(want)
+
+
+def test_every_turn_of_a_long_conversation_teaches(spark):
+    """Blocks of 64, gaps in the numbering, and a first turn that is not numbered 0."""
+    r = random.Random(3)
+    rows = [(c, 5 + 3 * t + 400 * (t > 90), r.choice(["user", "assistant"]), "\n".join("ab" for _ in range(r.randrange(1, 4)))) for c in (1, None) for t in range(200)]
+    raw = chat.as_transcript(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7))
+    lines = chat.labelled_lines(raw).collect()
+    firsts = [x for x in lines if x["first"]]
+    assert len(firsts) == 400
+    assert sum(x["before"] is None for x in firsts) == 2
+    assert sum(x["before_state"] is None for x in firsts) == 2
+    assert len(lines) == sum(x.text.count("\n") + 1 for x in raw.collect())
+
+
+def test_best_path_is_the_best_of_all(spark):
+    """Viterbi against every path of short transcripts."""
+    import itertools
+
+    import numpy as np
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    model = chat.fit(chat.labelled_lines(chat.as_transcript(turns)))
+    r = random.Random(5)
+    for _ in range(12):
+        lines = [r.choice(["User: hi?", "Assistant: ok", "", "plain words here", "### Response:", "System: x"]) for _ in range(4)]
+        seen = np.array([chat.observed(x, y) for x, y in zip(lines, [None, *lines[:-1]], strict=True)])
+        emit = np.stack([sum(table[:, v] for table, v in zip(model.emit, row, strict=True)) for row in seen])
+        score = lambda p: model.start[p[0]] + sum(model.move[a, b] for a, b in itertools.pairwise(p)) + sum(emit[i, s] for i, s in enumerate(p))
+        best = max(score(p) for p in itertools.product(range(chat.STATES), repeat=len(lines)))
+        assert score(chat.best_path(model, seen).tolist()) == pytest.approx(best)
+
+
 def test_odd_chats(spark):
     kind = "conv_id long, turn long, role string, text string, place long"
     rows = [(1, 0, "user", None, 1), (1, 1, "assistant", "", 1), (None, 0, "user", "hi", 1), (None, None, None, "x", 1), (2, 0, "robot", "a: b\nUser: c", 1), (2, 0, "robot", "a: b\nUser: c", 1)]
