@@ -26,10 +26,10 @@ def test_leaks(spark, odd, nothing):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = [(100, "before " + ITEMS[0][1] + " after"), (101, "x " + ITEMS[4][1].upper() + " y " + ITEMS[0][1]), (102, ITEMS[0][1][:50])]
     rows += [(200 + i, "lead " * i + edited(ITEMS[0][1], 2, r) + " trail" * i) for i in range(20)]
-    rows += [(300, "seven quick houses near"), (301, ITEMS[0][1].replace("o", "ooo").replace("e", "eee"))]
+    rows += [(300, "seven quick houses near"), (302, "shortly"), (303, "in short: no"), (301, ITEMS[0][1].replace("o", "ooo").replace("e", "eee"))]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     got = decontaminate.leaks(docs, items).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == {(100, 1), (101, 1), (101, 5), *((200 + i, 1) for i in range(20))}
+    assert {(x.doc_id, x.item_id) for x in got} == {(100, 1), (101, 1), (101, 5), (303, 4), *((200 + i, 1) for i in range(20))}
     exact = next(x for x in got if x.doc_id == 100)
     assert rows[0][1][exact.start : exact.stop] == ITEMS[0][1].rstrip(".")
     parts = decontaminate.leaks(docs, items, part=40).collect()
@@ -51,6 +51,45 @@ def test_leaks_cut_at_an_edge_of_their_document(spark):
     assert got[1] == got[2] == got[100]
 
 
+def test_short_items_are_found_between_borders(spark):
+    items = spark.createDataFrame([(1, "Short"), (2, "a-b!"), (3, "12 é"), (4, "elevenchars"), (5, "short"), (6, " ... "), (7, "x\0y")], "item_id long, text string")
+    rows = [
+        (1, "a SHORT one"), (2, "shorter shorts unshort"), (3, "short"), (4, "an A, B."), (5, "112 é"), (6, "so 12...É?"), (7, "(elevenchars)"),
+        (8, "x y"), (9, None), (10, ""), (11, "short short"), (12, "xy"), (13, "ab"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(1, 1, 2, 7), (1, 5, 2, 7), (3, 1, 0, 5), (3, 5, 0, 5), (4, 2, 3, 7), (6, 3, 3, 9), (7, 4, 1, 12), (8, 7, 0, 3)]
+    want += [(11, i, a, a + 5) for i in (1, 5) for a in (0, 6)]
+    for n in (1, 4):
+        got = decontaminate.leaks(docs.repartition(n), items)
+        assert sorted((r.doc_id, r.item_id, r.start, r.stop) for r in got.collect()) == sorted(want)
+        assert got.where("edits > 0").isEmpty()
+
+
+def test_periodic_texts_hold_counts_and_not_hits(monkeypatch):
+    """All shared q-grams at once and a few at a time give the same bands; a long periodic text stays small."""
+    import tracemalloc
+
+    import numpy as np
+
+    item = "abc de " * 80
+    known = decontaminate.Items([1, 2], [item, "a line of its own that stands in no other text at all"])
+    codes, _ = decontaminate.folded("xx " + "abc de " * 300 + "end\0" + "a line of its own that stands in no other text at all\0")
+    begins = np.append(0, np.flatnonzero(codes == 0)[:-1] + 1)
+    every = set(known.regions(codes, begins))
+    assert every
+    monkeypatch.setattr(decontaminate, "HITS", 1000)
+    assert set(known.regions(codes, begins)) == every
+    monkeypatch.setattr(decontaminate, "HITS", 1 << 19)
+    long, _ = decontaminate.folded("abc de " * 20_000 + "\0")
+    tracemalloc.start()
+    found = sum(1 for _ in known.regions(long, np.zeros(1, np.int64)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > 1000
+    assert peak < 400 << 20
+
+
 def test_aligned_is_the_edit_distance():
     r = random.Random(4)
     codes = lambda s: decontaminate.folded(s)[0]
