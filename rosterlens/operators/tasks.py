@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlens.functions import ranks as R
@@ -460,23 +460,46 @@ def external_topk(b: Bench) -> DataFrame:
 
 
 # ---------------------------------------------------------------- pairs, answers, traits
-@task("pairwise", "accuracy", "structural")
+@task("pairwise", "auroc_mean", "structural")
 def pairwise(b: Bench) -> DataFrame:
-    """Which of two held-out models wins a benchmark, averaged over benchmarks.
+    """Which of two held-out models wins a benchmark: a ridge on their difference and its absolute value, over all pairs.
 
-    A linear head on feature differences scores a pair by the difference of two model scores, and
-    its normal equations over all training pairs are those of a head on the models' ranks. So
-    the head is fitted on ranks and the held-out pairs of a fold are counted, never listed.
+    Per benchmark the AUROC of a fold's pairs, averaged over benchmarks, then folds. The accuracy of a head on the difference
+    alone comes with it; that one is fitted on ranks and its pairs are counted in rank order.
     """
+    from rosterlens.operators import pair_heads as PH
+
     s = b.benchmark_scores().withColumn("score", F.round("score", 12))
-    ranked = R.mid_rank(s, ["bench"], "score", "rank")
     bank = replace(b, transfer_permutations=0)
+    ranked = R.mid_rank(s, ["bench"], "score", "rank")
     scored = _per_benchmark(bank, ranked, "rank").drop("draw").join(s, ["model_id", "bench"]).join(b.fold_plan(), "model_id")
     won = R.concordance(cut_lineage(scored), ["bench", "fold"], "score", "predicted")
-    per = won.groupBy("bench").agg((F.sum(F.col("concordant") + F.col("tied") / 2) / F.sum("pairs")).alias("a"), F.sum("pairs").alias("n"))
-    per = cut_lineage(per)
-    row = per.agg(F.avg("a").alias("accuracy"), F.sum("n").alias("n_pairs"), F.count(F.lit(1)).alias("n_benchmarks"))
-    return with_interval(b, row, per.where("a is not null").select("bench", F.col("a").alias("y")), "mean", "accuracy", ("bench",))
+    linear = won.groupBy("bench").agg((F.sum(F.col("concordant") + F.col("tied") / 2) / F.sum("pairs")).alias("a")).agg(F.avg("a")).scalar()
+
+    axis = cut_lineage(s.select("bench").distinct().withColumn("at", F.row_number().over(Window.orderBy("bench")) - 1))  # one row for each benchmark
+    n = axis.count()
+    held = s.join(axis, "bench").groupBy("model_id").agg(F.map_from_entries(F.collect_list(F.struct("at", "score"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i))
+    rows = payload(rows_for(b, held.select("model_id", full.alias("y"))), "<f8")
+    counts = PH.pair_scores(rows, (n,), [(PH.signed_differences, "bank")], PH.wins, n, True)
+    per = cut_lineage(PH.counted_auroc(counts))
+    folds = per.groupBy("fold").agg(F.avg("auroc").alias("auroc"), F.avg("accuracy").alias("accuracy"))
+    row = folds.agg(F.avg("auroc").alias("auroc_mean"), F.avg("accuracy").alias("accuracy_mean"), F.count(F.lit(1)).alias("n_folds"))
+    row = row.withColumn("accuracy_linear", linear).withColumn("n_pairs", per.agg(F.sum("n")).scalar())
+    bench = per.where("auroc is not null").groupBy("target").agg(F.avg("auroc").alias("y"))
+    return with_interval(b, row, bench, "mean", "auroc_mean", ("target",))
+
+
+def payload(rows: DataFrame, dtype: str) -> DataFrame:
+    """(model_id, fold, x, y): the embedding as ``x.bank``, and y as bytes of ``dtype`` with NaN where it is missing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.assign(y=[np.array([np.nan if v is None else v for v in y], dtype).tobytes() for y in p["y"]])
+
+    kind = dict(rows.dtypes)["model_id"]
+    packed = rows.select("model_id", "fold", "x", "y").mapInPandas(run, f"model_id {kind}, fold int, x array<double>, y binary")
+    return packed.select("model_id", "fold", F.struct(F.col("x").alias("bank")).alias("x"), "y")
 
 
 def mean_divergence(answers: DataFrame) -> DataFrame:
@@ -496,12 +519,52 @@ def mean_divergence(answers: DataFrame) -> DataFrame:
     )
 
 
-@task("answer_divergence", "spearman", "structural")
+#: Questions behind the distance of two models' answers, and how many of them both must have answered. Fixed values.
+DIVERGENCE_QUESTIONS, MIN_PAIR_COVERAGE = 512, 8
+
+
+@task("answer_divergence", "spearman_mean", "structural")
 def answer_divergence(b: Bench) -> DataFrame:
-    """How far a model's answers lie from everybody else's, from the embedding."""
+    """How differently two models word their answers, pair by pair, from the embedding; the null knows the two accuracies only.
+
+    A pair's distance is 1 less the mean cosine over the questions of a hashed sample that both answered. The mean distance of a
+    model to all others comes with it, predicted as a label of its own.
+    """
+    from rosterlens.operators import pair_heads as PH
+
     if "answers" not in b.cache:
-        return absent(b, "spearman", "no answer vectors on this run")
-    return scalar_transfer(b, mean_divergence(b.cache["answers"]).select("model_id", "y"), "spearman")
+        return absent(b, "spearman_mean", "no answer vectors on this run")
+    answers = b.cache["answers"]
+    asked = answers.select("question_id").distinct().withColumn("h", keyed_hash(b.seed, "divergence", F.col("question_id"))).orderBy("h", "question_id").limit(DIVERGENCE_QUESTIONS)
+    asked = cut_lineage(asked.withColumn("at", F.row_number().over(Window.orderBy("h", "question_id")) - 1).select("question_id", "at"))
+    q, dim = asked.count(), answers.select(F.size("emb").alias("n")).first()["n"]
+    said = answers.join(asked, "question_id").select("model_id", "at", F.transform("emb", lambda x: x.cast("double")).alias("emb"))
+
+    def lay_out(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        m = np.full((q, dim), np.nan, "<f4")
+        v = np.stack(p["emb"].to_list()).astype(float)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        m[p["at"].to_numpy()] = np.where(size > 0, v / np.maximum(size, 1e-30), np.nan)
+        return pd.DataFrame({"model_id": [key[0]], "y": [m.tobytes()]})
+
+    kind = dict(answers.dtypes)["model_id"]
+    held = said.groupBy("model_id").applyInPandas(lay_out, f"model_id {kind}, y binary")  # at most the sample's answers of one model
+    plan = b.fold_plan().select("model_id", F.col("fold").cast("int").alias("fold"))
+    rows = b.embedding.join(held, "model_id").join(plan, "model_id").join(b.accuracy().select("model_id", F.col("y").alias("acc")), "model_id")
+    rows = rows.select("model_id", "fold", F.struct(F.col("vec").alias("bank"), F.array("acc").alias("level")).alias("x"), "y")
+    counts = PH.pair_scores(rows, (q, dim), [(PH.symmetric, "bank"), (PH.level_and_gap, "level")], PH.mean_distance(MIN_PAIR_COVERAGE), 1, False, "<f4")
+    per = cut_lineage(PH.counted_spearman(counts).where(F.col("n") >= MIN_SCORE))
+    if per.where("kind = 0").isEmpty():
+        return absent(b, "spearman_mean", "no fold has enough measured pairs")
+    of = lambda k, e: F.avg(F.when(F.col("kind") == k, e))
+    row = per.agg(
+        of(0, F.col("spearman")).alias("spearman_mean"), of(1, F.col("spearman")).alias("spearman_competence_null"),
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n_scored_pairs"), F.count_if(F.col("kind") == 0).alias("n_folds_scored"),
+    )
+    one = scalar_transfer(b, mean_divergence(answers).select("model_id", "y"), "spearman")
+    row = row.withColumn("spearman_of_means", one.select("spearman").scalar())
+    folds = per.where("kind = 0 and spearman is not null").select("fold", F.col("spearman").alias("y"))
+    return with_interval(b, row, folds, "mean", "spearman_mean", ("fold",))
 
 
 @task("model_authorship", "top1", "traits")
