@@ -8,6 +8,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -23,7 +24,8 @@ HELD = 300_000
 #: ASCII signs without those of special tokens and shortened words.
 _SIGNS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 _IS_SIGN = np.isin(np.arange(256), list(_SIGNS))
-_IS_LETTER = np.isin(np.arange(256), list(range(0x41, 0x5B)) + list(range(0x61, 0x7B)))
+_IS_CAPITAL = np.isin(np.arange(256), range(0x41, 0x5B))
+_IS_ODD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E), *range(0x41, 0x5B), *range(0x61, 0x7B)])
 #: Bytes of the longest run whose ids are kept for later texts.
 LONGEST = 256
 
@@ -94,24 +96,30 @@ class LibraryIds:
         """(octets, starts, ends, plain, words): a text with its words of ASCII letters lower-cased, cut before the signs that
         end those; which runs need no further look; and the first run of each word."""
         starts, ends = W.spans(octets)
-        place = np.arange(len(octets), dtype=np.int32)
-        place[_IS_SIGN[octets]] = -1
-        other = np.maximum.accumulate(place) if len(octets) else place
-        cuts = np.maximum(other[ends - 1] + 1, starts)
-        letters = np.zeros(len(octets) + 1, np.int32)
-        np.cumsum(_IS_LETTER[octets], out=letters[1:])
-        ascii_word = (letters[cuts] - letters[starts] == cuts - starts) & (cuts > starts)
+        cuts, signs = ends.copy(), np.flatnonzero(_IS_SIGN[octets[ends - 1]])
+        for _ in range(8):
+            cuts[signs] -= 1
+            signs = signs[cuts[signs] > starts[signs]]
+            signs = signs[_IS_SIGN[octets[cuts[signs] - 1]]]
+        for i in signs.tolist():  # more than eight signs at the end
+            word = octets[starts[i] : cuts[i]]
+            solid = np.flatnonzero(~_IS_SIGN[word])
+            cuts[i] = starts[i] + (int(solid[-1]) + 1 if len(solid) else 0)
+        ascii_word = cuts > starts
+        odd = np.flatnonzero(_IS_ODD[octets])  # neither letters nor white space
+        word = np.searchsorted(starts, odd, "right") - 1
+        ascii_word[word[odd < cuts[word]]] = False
         two = ascii_word & (cuts < ends)
         before = np.arange(len(starts)) + np.cumsum(two) - two
         n = len(starts) + int(two.sum())
         run_starts, run_ends, plain = np.empty(n, np.int64), np.empty(n, np.int64), np.ones(n, bool)
         run_starts[before], run_ends[before], plain[before] = starts, np.where(two, cuts, ends), ascii_word
         run_starts[before[two] + 1], run_ends[before[two] + 1] = cuts[two], ends[two]
-        turns = np.zeros(len(octets) + 1, np.int8)
-        turns[starts[ascii_word]] = 1
-        turns[cuts[ascii_word]] -= 1
-        inside = np.cumsum(turns[:-1], dtype=np.int8).view(bool)
-        return np.where(inside, octets | 0x20, octets), run_starts, run_ends, plain, before
+        capital = np.flatnonzero(_IS_CAPITAL[octets])
+        capital = capital[ascii_word[np.searchsorted(starts, capital, "right") - 1]]
+        lowered = octets.copy()
+        lowered[capital] |= 0x20
+        return lowered, run_starts, run_ends, plain, before
 
     def _by_library(self, runs: list[bytes]) -> list[bytes]:
         """Ids of any runs, each by itself."""
@@ -144,7 +152,9 @@ class LibraryIds:
             self.known, self.old = {}, self.known
         octets, starts, ends, plain, words = self.runs(np.frombuffer(b"\n".join(t or b"" for t in texts), np.uint8))
         text = octets.tobytes()
-        distinct, first, at = np.unique(W.span_hashes(octets, starts, ends), return_index=True, return_inverse=True)
+        at, distinct = pd.factorize(W.span_hashes(octets, starts, ends))
+        first = np.empty(len(distinct), np.int64)
+        first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
         keys = distinct.tolist()
         found = list(map(self.known.get, keys))
         new = []
