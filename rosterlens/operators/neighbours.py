@@ -2,34 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlens.functions.draws import keyed_hash
-from rosterlens.functions.ranks import top_by
+from rosterlens.functions.ranks import top_by, value_offsets
 from rosterlens.functions.vectors import unit
 from rosterlens.session import cut_lineage
 
 #: Rows of one side of a block; a task compares at most this many rows with as many others.
 BLOCK_ROWS = 2048
+#: Pivots of an index at most; they are held by the driver and sent to every task.
+PIVOTS = 1024
 EPS = 1e-9
 #: Similarities closer than this are ties.
 TIE_DIGITS = 12
 
 
-def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+def nearest(vectors: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK_ROWS) -> DataFrame:
     """near(model_id, other, sim, pos): the k most similar other rows, ties by id.
 
-    Rows are hashed into equal blocks and every block meets every other one in its own task. A
-    task keeps only k rows per model, so what is shuffled is rows x blocks, never all pairs.
-    cosine is a dot product of unit vectors; euclidean is a negated distance on centred columns,
-    euclidean_z on standardised ones.
+    cosine is a dot product of unit vectors; euclidean is a negated distance on centred columns, euclidean_z on
+    standardised ones. Exact; `search` says how it avoids comparing every row with every other.
     """
     if metric not in ("cosine", "euclidean", "euclidean_z"):
         raise ValueError(f"unknown metric {metric!r}")
-    # read three times below: the block count and both sides
     vectors = cut_lineage(vectors.select("model_id", "emb"))
     if metric == "cosine":
         ready = vectors.select("model_id", unit("emb", EPS).alias("emb"))
@@ -45,63 +47,144 @@ def nearest(vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
                 F.zip_with("emb", "__s.mean", lambda x, m: x - m), "__s.sd", lambda x, s: x / F.greatest(s, F.lit(EPS))
             ).alias("emb"),
         )
-    blocks = vectors.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
-    ready = ready.withColumn("n", blocks).withColumn("b", (keyed_hash(0, "block", F.col("model_id")) % F.col("n")).cast("int"))
-    meet = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    left = ready.select(F.col("model_id").alias("model_id"), F.col("emb").alias("emb"), F.col("b").alias("bi"), meet.alias("bj"))
-    right = ready.select(F.col("model_id").alias("other"), F.col("emb").alias("other_emb"), meet.alias("bi"), F.col("b").alias("bj"))
-    cosine = metric == "cosine"
+    ready = cut_lineage(ready)
+    return search(ready, ready, k, metric == "cosine", True, block)
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"model_id": [], "other": [], "sim": []})
-        b = b.sort_values("other")
-        x, y = np.stack(a["emb"].to_list()), np.stack(b["other_emb"].to_list())
-        ids, others = a["model_id"].to_numpy(), b["other"].to_numpy()
-        sim = x @ y.T
-        if not cosine:
-            sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * sim
-            sim = -np.sqrt(np.maximum(sq, 0))
-        sim[ids[:, None] == others[None, :]] = -np.inf
-        order = np.argsort(-np.round(sim, TIE_DIGITS), axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(sim, order, 1)
-        out = pd.DataFrame(
-            {"model_id": np.repeat(ids, order.shape[1]), "other": others[order.ravel()], "sim": top.ravel()}
-        )
-        return out[np.isfinite(out["sim"])]
 
-    kept = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(
-        best, f"model_id {dict(vectors.dtypes)['model_id']}, other {dict(vectors.dtypes)['model_id']}, sim double"
-    )
-    return top_by(kept, ["model_id"], [F.round("sim", TIE_DIGITS).desc(), F.col("other")], k, "pos")
+def nearest_between(queries: DataFrame, targets: DataFrame, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """near(model_id, other, sim, pos): the k targets closest to each query by distance, ties by id."""
+    return search(cut_lineage(queries.select("model_id", "emb")), cut_lineage(targets.select("model_id", "emb")), k, False, False, block)
+
 
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_list()).astype(np.float64)
 
-def nearest_between(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """near(model_id, other, sim, pos): the k targets closest to each query by distance, ties by id.
 
-    Both sides are hashed into blocks; a task keeps k targets per query of its block pair.
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0))
+
+
+def _top(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray, k: int, cosine: bool, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places, similarities) of the k best of ``others``, sorted by id, for each row."""
+    sim = x @ y.T if cosine else -_distances(x, y)
+    if same:
+        sim[ids[:, None] == others[None, :]] = -np.inf
+    order = np.argsort(-np.round(sim, TIE_DIGITS), axis=1, kind="stable")[:, :k]
+    return order, np.take_along_axis(sim, order, 1)
+
+
+@dataclass
+class Index:
+    """Targets by pivot and, within a pivot's share, by rings of their distance to it; a block has about as many rows as a task compares."""
+
+    pivots: np.ndarray
+    rows: DataFrame  # (block, other, other_emb)
+    part: np.ndarray  # of each block: its pivot, least and largest distance to it
+    low: np.ndarray
+    high: np.ndarray
+
+
+def indexed(targets: DataFrame, block: int) -> Index:
+    """The index of targets(model_id, emb). Pivots are a hashed sample of at most PIVOTS rows; what the driver holds beside them is
+    one line for each block. Rows at one distance (copies) are dealt over as many blocks as they need."""
+    n = targets.count()
+    wanted = max(1, min(PIVOTS, -(-n // block)))
+    sample = targets.withColumn("h", keyed_hash(0, "pivot", F.col("model_id"))).orderBy("h", "model_id").limit(wanted).collect()
+    pivots = np.array([r["emb"] for r in sample], float)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            d = _distances(_matrix(p["emb"]), pivots)
+            part = d.argmin(axis=1)
+            yield p.assign(part=part.astype(np.int32), d=np.round(d[np.arange(len(d)), part], 9) + 0.0)
+
+    kind = dict(targets.dtypes)["model_id"]
+    placed = cut_lineage(targets.mapInPandas(assign, f"model_id {kind}, emb array<double>, part int, d double"))
+    counts = placed.groupBy("part", "d").agg(F.count(F.lit(1)).alias("c"))
+    rings = cut_lineage(value_offsets(counts, ["part"], "d", ["c"]).select("part", "d", "c", F.floor(F.col("c_below") / block).alias("ring")))
+    shares = rings.groupBy("part", "ring").agg(F.ceil(F.sum("c") / block).cast("int").alias("shares"))
+    named = placed.join(rings.select("part", "d", "ring"), ["part", "d"]).join(shares, ["part", "ring"])
+    named = named.withColumn("share", (keyed_hash(0, "share", F.col("model_id")) % F.col("shares")).cast("int"))
+    blocks = named.groupBy("part", "ring", "share").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    lines = sorted(tuple(r) for r in blocks.collect())
+    spark = targets.sparkSession
+    numbers = spark.createDataFrame([(i, *line[:3]) for i, line in enumerate(lines)], "block int, part int, ring long, share int")
+    rows = cut_lineage(named.join(numbers, ["part", "ring", "share"]).select("block", F.col("model_id").alias("other"), F.col("emb").alias("other_emb")))
+    return Index(pivots, rows, np.array([x[0] for x in lines]), np.array([x[3] for x in lines]), np.array([x[4] for x in lines]))
+
+
+def _met(visits: DataFrame, index: Index, k: int, cosine: bool, same: bool, block: int) -> DataFrame:
+    """(model_id, other, sim): the k best of each block for the queries that visit it, visits(block, model_id, emb).
+
+    A block with very many visitors meets them in several tasks.
     """
-    nq = queries.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
-    nt = targets.agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int")).scalar()
-    q = queries.select(F.col("model_id").alias("model_id"), F.col("emb").alias("emb")).withColumn("n", nq).withColumn("m", nt)
-    t = targets.select(F.col("model_id").alias("other"), F.col("emb").alias("other_emb")).withColumn("n", nq).withColumn("m", nt)
-    left = q.select("model_id", "emb", (keyed_hash(0, "block", F.col("model_id")) % F.col("n")).cast("int").alias("bi"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("bj"))
-    right = t.select("other", "other_emb", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("bi"), (keyed_hash(0, "block", F.col("other")) % F.col("m")).cast("int").alias("bj"))
+    counts = cut_lineage(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("turns")))
+    left = visits.join(counts, "block").select("block", (keyed_hash(0, "turn", F.col("model_id")) % F.col("turns")).cast("int").alias("turn"), "model_id", "emb")
+    again = counts.select(F.col("block").alias("of"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    right = index.rows.join(again, F.col("block") == F.col("of")).select("block", "turn", "other", "other_emb")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"model_id": [], "other": [], "sim": []})
         b = b.sort_values("other")
-        x, y = np.stack(a["emb"].to_list()), np.stack(b["other_emb"].to_list())
-        sq = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-        sim = -np.sqrt(np.maximum(sq, 0))
-        order = np.argsort(-np.round(sim, TIE_DIGITS), axis=1, kind="stable")[:, :k]
-        return pd.DataFrame(
-            {"model_id": np.repeat(a["model_id"].to_numpy(), order.shape[1]), "other": b["other"].to_numpy()[order.ravel()], "sim": np.take_along_axis(sim, order, 1).ravel()}
-        )
+        ids, others = a["model_id"].to_numpy(), b["other"].to_numpy()
+        order, top = _top(ids, _matrix(a["emb"]), others, _matrix(b["other_emb"]), k, cosine, same)
+        out = pd.DataFrame({"model_id": np.repeat(ids, order.shape[1]), "other": others[order.ravel()], "sim": top.ravel()})
+        return out[np.isfinite(out["sim"])]
 
-    kind, other = dict(queries.dtypes)["model_id"], dict(targets.dtypes)["model_id"]
-    kept = left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInPandas(best, f"model_id {kind}, other {other}, sim double")
+    kind, other = dict(visits.dtypes)["model_id"], dict(index.rows.dtypes)["other"]
+    return left.groupBy("block", "turn").cogroup(right.groupBy("block", "turn")).applyInPandas(best, f"model_id {kind}, other {other}, sim double")
+
+
+def visited(queries: DataFrame, index: Index, k: int, cosine: bool, same: bool, block: int) -> DataFrame:
+    """(block, model_id, emb): the blocks that can hold one of a query's k best.
+
+    A query first meets the block nearest to it, which bounds how far its k-th neighbour is. By the triangle inequality a block
+    whose ring around its pivot lies farther than that from the query's own distance to the pivot holds none.
+    """
+    pivots, part, low, high = index.pivots, index.part, index.low, index.high
+
+    def gaps(x: np.ndarray) -> np.ndarray:
+        own = _distances(x, pivots)[:, part]
+        return np.maximum(np.maximum(own - high, low - own), 0)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            x = _matrix(p["emb"])
+            d = _distances(x, pivots)
+            # of the nearest pivot's blocks the one with the least gap
+            g = np.where(part[None] == part[np.argsort(d[:, part], axis=1, kind="stable")[:, 0]][:, None], gaps(x), np.inf)
+            yield p.assign(block=g.argmin(axis=1).astype(np.int32))[["block", "model_id", "emb"]]
+
+    kind = dict(queries.dtypes)["model_id"]
+    schema = f"block int, model_id {kind}, emb array<double>"
+    near = _met(cut_lineage(queries.mapInPandas(first, schema)), index, k, cosine, same, block)
+    far = near.groupBy("model_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("least"))
+    bounded = cut_lineage(queries.join(far, "model_id", "left"))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for start in range(0, len(p), 256):
+                q = p.iloc[start : start + 256]
+                x, least = _matrix(q["emb"]), q["least"].to_numpy(float)
+                square = 2 - 2 * least if cosine else least * least
+                square = np.where(np.isnan(least), np.inf, square * (1 + 1e-6) + 1e-6)  # rounding never hides a tie
+                row, at = np.nonzero(gaps(x) ** 2 <= square[:, None])
+                yield pd.DataFrame({"block": at.astype(np.int32), "model_id": q["model_id"].to_numpy()[row], "emb": list(x[row])})
+
+    return bounded.mapInPandas(reach, schema)
+
+
+def search(queries: DataFrame, targets: DataFrame, k: int, cosine: bool, same: bool, block: int = BLOCK_ROWS) -> DataFrame:
+    """near(model_id, other, sim, pos): the k best targets of each query, exactly; ``same`` leaves out a row's own id.
+
+    Targets lie in blocks by pivot and distance to it. A query is sent to the blocks that can hold one of its k best and to no
+    other, and a task keeps k rows for each query of its block. Where vectors have no structure, that is all blocks.
+    """
+    index = indexed(targets, block)
+    if not len(index.pivots):
+        return queries.select("model_id", F.col("model_id").alias("other"), F.lit(0.0).alias("sim"), F.lit(1).alias("pos")).limit(0)
+    kept = _met(cut_lineage(visited(queries, index, k, cosine, same, block)), index, k, cosine, same, block)
     return top_by(kept, ["model_id"], [F.round("sim", TIE_DIGITS).desc(), F.col("other")], k, "pos")
 
 

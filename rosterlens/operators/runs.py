@@ -191,6 +191,9 @@ def fit_runs(inputs: Inputs, protocol: Protocol, root: str) -> None:
         raise ValueError(f"unknown arms {unknown}; there are {sorted(ARMS)}")
     spark = inputs.cells.sparkSession
     sizes = {}
+    # the vectors' table is there even if every arm is skipped
+    empty = inputs.plan.limit(0).select(*_part({"refit": "", "arm": ""}), F.lit(0).alias("seed"), F.col("fold").cast("int").alias("run"), "model_id", F.lit("").alias("side"), F.array().cast("array<double>").alias("vec"))
+    empty.write.parquet(f"{root}/run_vectors")
     for refit in (WHOLE, *protocol.refits):
         blocks = protocol.blocks if refit == WHOLE else without_benchmarks(protocol.blocks, F.col("bench") == refit)
         blocks = staged(blocks.select("question_id", "bench", "block"))

@@ -130,6 +130,38 @@ def test_nearest_in_blocks_equals_all_pairs(spark, monkeypatch, metric):
         assert [got[i][p] for p in (1, 2, 3)] == np.argsort(-sim[i])[:3].tolist()
 
 
+@pytest.mark.parametrize("cosine", [True, False])
+def test_pivots_find_the_same_rows_and_visit_few_blocks(spark, cosine):
+    """Clustered vectors with copies, ties and a zero vector; a third of all rows is one vector."""
+    rng = np.random.default_rng(8)
+    centres = 6 * rng.normal(size=(12, 5))
+    x = np.concatenate([centres[rng.integers(0, 12, 260)] + 0.3 * rng.normal(size=(260, 5)), np.tile(centres[3], (130, 1)), np.zeros((1, 5))])
+    deal = rng.permutation(len(x))
+    x, copies = x[deal], (deal >= 260) & (deal < 390)
+    if cosine:
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "model_id bigint, emb array<double>").repartition(4)
+    sim = x @ x.T if cosine else -N._distances(x, x)
+    np.fill_diagonal(sim, -np.inf)
+    order = np.argsort(-np.round(sim, N.TIE_DIGITS), axis=1, kind="stable")[:, :4]
+    got = {(r["model_id"], r["pos"]): r["other"] for r in N.search(df, df, 4, cosine, True, block=16).collect()}
+    assert len(got) == 4 * len(x)
+    for i in range(len(x)):
+        mine = [got[i, p] for p in range(1, 5)]
+        assert np.allclose(sim[i, mine], sim[i, order[i]], atol=1e-9)
+        if i % 7 == 0:
+            assert mine == order[i].tolist()
+    index = N.indexed(df, 16)
+    far = df.where(~F.col("model_id").isin(np.flatnonzero(copies).tolist()))
+    seen = N.visited(far, index, 4, cosine, True, 16).count()
+    assert seen < far.count() * len(index.part) / 3
+    between = N.search(df.where("model_id < 50"), df.where("model_id >= 50"), 2, False, False, block=16).collect()
+    for r in between:
+        d = N._distances(x[r["model_id"] : r["model_id"] + 1], x[50:])[0]
+        assert np.isclose(-r["sim"], np.sort(d)[r["pos"] - 1], atol=1e-6)
+    assert len(between) == 100
+
+
 def test_few_pairs_are_all_listed_once(spark):
     rng = np.random.default_rng(6)
     bit = rng.integers(0, 2, (6, 4))
