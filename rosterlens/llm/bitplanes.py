@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rosterlens.llm import words as W
+from rosterlens.session import staged
 
 #: Ids of a block, zstandard level, pieces of text whose ids a task keeps.
 BLOCK = 1 << 16
@@ -285,28 +286,25 @@ def _bases(chunks: DataFrame) -> DataFrame:
     return totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def _unpack(crossing: bool):
-    """Documents that lie within one block with their checksum, or (``crossing``) pieces of the others with their ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk in range(batch.num_rows):
-                r = batch.slice(chunk, 1).to_pylist()[0]
-                first, stop, out = r["first"], r["first"] + r["n_ids"], []
-                docs = enumerate(zip(r["doc_ids"], r["starts"], r["lengths"], strict=True))
-                here = [(i, d, s, n) for i, (d, s, n) in docs if (s < first or s + n > stop) == crossing]
-                if not here:
-                    continue
-                ids = from_planes(r["planes"], r["n_ids"], r["kind"])
-                for i, doc_id, start, n in here:
-                    own = ids[max(start - first, 0) : start + n - first].tobytes()
-                    out.append((r["shard"], r["row"] + i, doc_id, start, n, r["chunk"], *((None, own) if crossing else (zlib.crc32(own), None))))
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, _PIECES.types, strict=True)], schema=_PIECES
-                )
-
-    return run
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents that lie within one block with their checksum, pieces of the others with their ids."""
+    for batch in batches:
+        planes = batch.column("planes")
+        for i, (shard, chunk, first, n_ids, kind, row) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "first", "n_ids", "kind", "row")), strict=True)):
+            ids = memoryview(from_planes(planes[i].as_py(), n_ids, kind).tobytes())
+            starts, lengths = (batch.column(c)[i].values.to_numpy() for c in ("starts", "lengths"))
+            begins, ends = starts - first, starts + lengths - first
+            whole = (begins >= 0) & (ends <= n_ids)
+            spans = zip(np.maximum(4 * begins, 0).tolist(), np.minimum(4 * ends, 4 * n_ids).tolist(), whole.tolist(), strict=True)
+            crcs, parts = zip(*((zlib.crc32(ids[a:b]), None) if w else (None, bytes(ids[a:b])) for a, b, w in spans), strict=True)
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(row, row + n)), batch.column("doc_ids")[i].values,
+                    pa.array(starts), pa.array(lengths), pa.array(np.full(n, chunk, np.int32)), pa.array(crcs, pa.int64()), pa.array(parts, pa.binary()),
+                ],
+                schema=_PIECES,
+            )
 
 
 _PIECES = pa.schema(
@@ -325,11 +323,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """
     chunks = spark.read.schema(CHUNKS).parquet(f"{path}/chunks")
     schema = "shard int, row long, doc_id long, start long, n_tokens long, chunk int, crc long, ids binary"
+    pieces = staged(chunks.mapInArrow(_unpack, schema))  # a checksum for most documents; ids of those at borders only
     found = ["shard", "row", "doc_id", "start", "n_tokens", "crc"]
-    whole = chunks.mapInArrow(_unpack(False), schema).select(*found)
+    whole = pieces.where("crc is not null").select(*found)
     parts = F.sort_array(F.collect_list(F.struct("chunk", "ids")))
     crossing = (
-        chunks.mapInArrow(_unpack(True), schema)
+        pieces.where("crc is null")
         .groupBy("shard", "row")
         .agg(*[F.first(c).alias(c) for c in ("doc_id", "start", "n_tokens")], parts.alias("parts"))
         .withColumn("crc", F.crc32(F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["ids"])), ""))))
