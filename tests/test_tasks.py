@@ -150,3 +150,17 @@ def test_specialisation_reports_ceiling_and_null(bank):
     assert row["permuted_null"] < row["r2_profile_pc2plus"]
     assert row["r2_competence"] > 0.3
     assert row["target_reliability_ex_thinnest"] is not None
+
+
+def test_an_input_is_made_when_a_task_first_reads_it(bank):
+    made = []
+
+    def traits():
+        made.append(1)
+        return bank.models.select("model_id", F.col("model_id").cast("double").alias("log_n_tok"))
+
+    lazy = TK.Bench(bank.embedding, bank.cells, bank.models, labels=lambda: 1 / 0, folds=3, permutations=4, draws=20, cache={"traits": traits})
+    assert TK.TASKS["score_regression"].run(lazy).count() == 1 and not made
+    for _ in range(2):
+        assert TK.TASKS["length_profile"].run(lazy).first()["n_labelled"] == 30
+    assert len(made) == 1
