@@ -86,3 +86,33 @@ def test_refused_intervals(spark):
     assert tuple(IV.interval(flat, "spearman", 0.5, draws=20).first()) == (None, None, 9)
     fine = spark.createDataFrame([(i, float(i), float(i)) for i in range(9)], "model_id long, y double, p double")
     assert tuple(IV.interval(fine, "spearman", None, draws=20).first()) == (None, None, 9)
+
+
+def test_weights_are_the_draws_of_resample(spark, monkeypatch):
+    """Over several blocks and tasks, the packed counts are those of the joined table, narrow enough to keep."""
+    from rosterlens.operators.scores import resample
+
+    monkeypatch.setattr(IV, "BLOCK", 16)
+    monkeypatch.setattr(IV, "PICKS", 500)
+    units = spark.createDataFrame([(i * 7,) for i in range(75)], "unit long")
+    got = IV.draw_weights(units, "unit", 20, 3, "ci")
+    assert dict(got.dtypes)["w"] == "array<smallint>"
+    w = {(r["unit"], d + 1): t for r in got.collect() for d, t in enumerate(r["w"]) if t}
+    want = {(r["unit"], r["draw"]): r["times"] for r in resample(units, [], "unit", 20, 3, "ci").collect()}
+    assert got.count() == 75 and w == want
+
+
+def test_a_shared_value_is_ranked_over_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(IV, "PIECE", 40)
+    r = np.random.default_rng(5)
+    y = np.where(r.random(400) < 0.7, 1.0, r.normal(size=400).round(2))
+    w = r.poisson(1.0, (400, 6))
+    rows = spark.createDataFrame([(w[i].tolist(), float(y[i])) for i in range(400)], "w array<smallint>, y double").repartition(3)
+    ranked = IV.ranked(rows, "y", "rank", 400)
+    pieces = ranked.inputFiles()
+    assert len(pieces) > 5  # one value holds most rows, and no piece holds them all
+    for x in ranked.collect():
+        for d in range(6):
+            at = np.repeat(y, w[:, d])
+            below, same = (at < x["y"]).sum(), (at == x["y"]).sum()
+            assert x["rank"][d] == below + (same + 1) / 2
