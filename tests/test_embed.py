@@ -100,3 +100,28 @@ def test_gram_of_two_blocks(spark):
     a, b = rng.normal(size=(20, 3)), rng.normal(size=(20, 2))
     df = spark.createDataFrame([(a[i].tolist(), b[i].tolist()) for i in range(20)], "a array<double>, b array<double>")
     assert np.allclose(E.gram(df.repartition(4), "a", "b"), a.T @ b)
+
+
+def test_fingerprint_multiplies_whole_answers(spark, monkeypatch):
+    """Groups of models meet a question's matrix, and sums leave a task before its keys are many; missing answers stand at the mean."""
+    from pyspark.sql import functions as F
+
+    from rosterlens.functions.draws import normal
+    from rosterlens.operators import embed as E
+
+    monkeypatch.setattr(E, "SUMMED", 2)
+    monkeypatch.setattr(E, "PROJECTED", 3)
+    r = np.random.default_rng(4)
+    has = {(m, q): r.normal(size=5) for m in range(12) for q in range(6) if (m + q) % 4}
+    answers = spark.createDataFrame([(m, f"q{q}", v.tolist()) for (m, q), v in has.items()], "model_id long, question_id string, emb array<double>")
+    probes = spark.createDataFrame([(f"q{q}",) for q in range(5)], "question_id string")
+    got = E.random_fingerprint(answers.repartition(2), probes, 3, 5, 7)
+    assert "posexplode(zip_with" not in got._jdf.queryExecution().toString()
+    at = probes.select("question_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    proj = {(x["question_id"], x["i"]): x["v"] for x in at.select("question_id", "i", F.array(*[normal(7, "project", F.col("question_id"), F.col("i"), F.lit(j)) for j in range(3)]).alias("v")).collect()}
+    mean = {q: np.mean([v for (_, k), v in has.items() if k == q], axis=0) for q in range(5)}
+    rows = got.collect()
+    assert len(rows) == 12
+    for x in rows:
+        want = sum(has.get((x["model_id"], q), mean[q]) @ np.array([proj[f"q{q}", i] for i in range(5)]) for q in range(5)) / 5
+        assert np.allclose(x["vec"], want, atol=1e-12)
