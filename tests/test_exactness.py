@@ -66,3 +66,21 @@ def test_abilities_converge_and_information_is_exact(spark):
     for q, ai, bi in items:
         p = 1 / (1 + np.exp(-(ai * np.array(list(theta.values())) + bi)))
         assert abs(got[q] - (ai * ai * p * (1 - p)).sum()) < 1e-9
+
+
+def test_ranks_of_one_copy_serve_all_permuted_copies(spark):
+    """Spearman per copy with the shared ranks of y, and both sides ranked from the rows as they come."""
+    from rosterlens.functions import ranks as R
+
+    r = np.random.default_rng(3)
+    y = r.normal(size=50).round(1)
+    rows = [(d, float(v), float(p)) for d in range(3) for v, p in zip(y if d == 0 else r.permutation(y), r.normal(size=50).round(1))]
+    df = spark.createDataFrame(rows, "draw int, y double, p double")
+    shared = R.value_ranks(df.where("draw = 0").select("y"), [], "y", "__ra")
+    got = {x["draw"]: x["spearman"] for x in R.spearman(df, ["draw"], "y", "p", ranks=shared).collect()}
+    own = {x["draw"]: x["spearman"] for x in R.spearman(df, ["draw"], "y", "p").collect()}
+    mid = lambda x: (np.searchsorted(np.sort(x), x, "left") + np.searchsorted(np.sort(x), x, "right") + 1) / 2
+    for d in range(3):
+        a, b = (np.array([x[i] for x in rows if x[0] == d]) for i in (1, 2))
+        want = np.corrcoef(mid(a), mid(b))[0, 1]
+        assert abs(got[d] - want) < 1e-12 and abs(own[d] - want) < 1e-12
