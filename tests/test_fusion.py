@@ -111,6 +111,21 @@ def test_wide_blocks_are_cut_at_their_rank(gathered):
     assert all(np.isfinite(r["vec"]).all() for r in rows)
 
 
+def test_many_small_tiles_give_the_same(spark, monkeypatch):
+    """Sums leave a tile once for each model or question, so products don't widen the cells; how they are cut changes nothing."""
+    monkeypatch.setattr(FU, "TILE_MODELS", 9)
+    monkeypatch.setattr(FU, "TILE_QUESTIONS", 40)
+    *arrays, cells, plan, qtext, text = tables(spark, 7)
+    g = FU.gather(cells, plan, qtext, text)
+    tiles = g.tiles.selectExpr("fold", "size(models) m", "size(questions) q", "size(v) v").collect()
+    assert len(tiles) >= FOLDS * 2 * 3
+    assert sum(t["v"] for t in tiles) == FOLDS * cells.where("model_id <> 4").count()
+    assert all(t["v"] <= FOLDS * t["m"] * t["q"] for t in tiles)
+    rows = FU.pls(g, FU.CHANNELS, 9).collect()
+    for run in range(FOLDS):
+        check([r for r in rows if r["run"] == run], direct(*arrays, run, FU.CHANNELS, (3, 3, 3)), arrays[-1], run)
+
+
 def test_refits_without_questions(spark):
     a, e, t, has, fold, cells, plan, _, text = tables(spark, 4)
     keep = [j for j in range(NQ) if j % 4]
