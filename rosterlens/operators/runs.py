@@ -41,10 +41,16 @@ class Inputs:
     width: int = 32
     cache: dict = field(default_factory=dict)
 
+    def packed(self) -> FU.Packed:
+        """The cells packed for products, made once for all arms, seeds and texts."""
+        if "packed" not in self.cache:
+            self.cache["packed"] = FU.pack(self.cells, self.plan)
+        return self.cache["packed"]
+
     def gathered(self) -> FU.Gathered:
         """Sums that all arms share, made once."""
         if "sums" not in self.cache:
-            self.cache["sums"] = FU.gather(self.cells, self.plan, self.qtext, self.anstext)
+            self.cache["sums"] = FU.gather(self.packed(), self.plan, self.qtext, self.anstext)
         return self.cache["sums"]
 
     def folds(self) -> int:
@@ -140,7 +146,7 @@ def pls_shuffled_anstext(inputs: Inputs, seed: int) -> DataFrame:
     own = inputs.anstext.join(inputs.plan, "model_id").where("emb is not null")
     swap = derangement(own, "fold", "model_id", seed).select("model_id", F.coalesce("other", "model_id").alias("other"))
     text = swap.join(own.select(F.col("model_id").alias("other"), "emb"), "other").select("model_id", "emb")
-    return FU.pls(FU.gather(inputs.cells, inputs.plan, None, text), ("bits", "anstext"), inputs.width)
+    return FU.pls(FU.gather(inputs.packed(), inputs.plan, None, text), ("bits", "anstext"), inputs.width)
 
 
 @arm("pls_shuffled_qtext", ["qtext"], seeded=True)
@@ -149,7 +155,7 @@ def pls_shuffled_qtext(inputs: Inputs, seed: int) -> DataFrame:
     rows = inputs.qtext.withColumn("side", F.lit(0))
     swap = derangement(rows, "side", "question_id", seed).select("question_id", F.coalesce("other", "question_id").alias("other"))
     text = swap.join(rows.select(F.col("question_id").alias("other"), "emb"), "other").select("question_id", "emb")
-    return FU.pls(FU.gather(inputs.cells, inputs.plan, text, None), ("bits", "qtext"), inputs.width)
+    return FU.pls(FU.gather(inputs.packed(), inputs.plan, text, None), ("bits", "qtext"), inputs.width)
 
 
 @arm("null_random", seeded=True)

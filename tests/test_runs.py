@@ -57,6 +57,16 @@ def test_a_refit_reads_no_question_left_out(parts, done):
         assert np.allclose(r["vec"], want[r["run"], r["model_id"]], atol=1e-8)
 
 
+def test_cells_are_packed_once_for_all_arms_and_seeds(parts, spark, tmp_path, monkeypatch):
+    _, inputs, blocks = parts
+    made, tiled = [], FU.tiled
+    monkeypatch.setattr(FU, "tiled", lambda cells: made.append(1) or tiled(cells))
+    root = f"{tmp_path}/packed"
+    RN.fit_runs(inputs, RN.Protocol(blocks, ["pls_bits_anstext", "pls_shuffled_anstext"], (3, 4)), root)
+    assert len(made) == 1
+    assert {r["status"] for r in RN.read_runs(spark, root)["run_arms"].collect()} == {"fitted"}
+
+
 def test_errors(parts, spark, tmp_path):
     _, inputs, blocks = parts
     with pytest.raises(ValueError, match="unknown arms"):
