@@ -90,3 +90,30 @@ def test_distances_equal_a_head_on_all_listed_pairs(spark):
             assert got[kind, k]["n"] == len(t)
             assert got[kind, k]["spearman"] == pytest.approx(want, abs=1e-6)
     assert np.mean([got[0, k]["spearman"] for k in range(K)]) > np.mean([got[1, k]["spearman"] for k in range(K)])
+
+
+@pytest.mark.parametrize("within", [False, True])
+def test_a_tile_holds_one_pair_of_folds_and_every_pair_once(spark, within):
+    _, _, fold, rows = table(spark)
+    held = {}
+    for r in PH.tiles(rows, 6, within).select("tile", "side", "own", "model_id", "fold").collect():
+        held.setdefault(r["tile"], []).append(r)
+    met = []
+    for own in held.values():
+        sides = [[r["model_id"] for r in own if r["side"] == s] for s in (0, 1)]
+        assert len({r["fold"] for r in own if r["side"] == 0}) <= 1 and len({r["fold"] for r in own if r["side"] == 1}) <= 1
+        met += itertools.combinations(sorted(sides[0]), 2) if own[0]["own"] else [tuple(sorted(x)) for x in itertools.product(*sides)]
+    want = [(i, j) for i, j in itertools.combinations(range(N), 2) if not within or fold[i] == fold[j]]
+    assert sorted(met) == want
+
+
+def test_distances_of_two_pieces_are_one_matrix_product():
+    r = np.random.default_rng(5)
+    e = r.normal(size=(30, 7, 3))
+    e[r.random((30, 7)) < 0.4] = np.nan
+    got = PH.mean_distance(3).block(e[:12], e[12:])[:, :, 0]
+    for i in range(12):
+        for j in range(18):
+            both = ~np.isnan(e[i, :, 0]) & ~np.isnan(e[12 + j, :, 0])
+            want = 1 - (e[i, both] * e[12 + j, both]).sum() / both.sum() if both.sum() >= 3 else np.nan
+            assert got[i, j] == pytest.approx(want, nan_ok=True)
