@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rosterlens.operators import intervals as IV
 
@@ -116,3 +117,20 @@ def test_a_shared_value_is_ranked_over_several_pieces(spark, monkeypatch):
             at = np.repeat(y, w[:, d])
             below, same = (at < x["y"]).sum(), (at == x["y"]).sum()
             assert x["rank"][d] == below + (same + 1) / 2
+
+
+def test_resampled_means_are_those_of_listed_draws(spark, monkeypatch):
+    """Several groups, blocks and pieces, a missing unit, rows that share a unit and a key that is missing."""
+    from rosterlens.operators import scores as S
+
+    rows = [(g, u if u != 5 else None, float(u * u % 11)) for g, size in (("a|b", 23), ("c", 4), (None, 3), ("d", 1)) for u in range(size)] + [("c", 2, 9.5)]
+    df = spark.createDataFrame(rows, "g string, unit int, v double")
+    monkeypatch.setattr(S, "BLOCK", 5)
+    monkeypatch.setattr(S, "PICKS", 90)
+    got = {(r["g"], r["draw"]): r["stat"] for r in S.resampled_means(df, ["g"], "unit", "v", 15, 3, "boot").collect()}
+    times = S.resample(df.where("g is not null"), ["g"], "unit", 15, 3, "boot").join(df, ["g", "unit"])
+    want = times.groupBy("g", "draw").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("stat")).collect()
+    assert got == {(r["g"], r["draw"]): pytest.approx(r["stat"]) for r in want} and len(got) == 45
+    plain = {r["draw"]: r["stat"] for r in S.resampled_means(df.where("g = 'c'").drop("g"), [], "unit", "v", 15, 3, "boot").collect()}
+    listed = S.resample(df.where("g = 'c'").drop("g"), [], "unit", 15, 3, "boot").join(df.where("g = 'c'"), "unit")
+    assert plain == {r["draw"]: pytest.approx(r["stat"]) for r in listed.groupBy("draw").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("stat")).collect()}
