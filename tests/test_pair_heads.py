@@ -117,3 +117,38 @@ def test_distances_of_two_pieces_are_one_matrix_product():
             both = ~np.isnan(e[i, :, 0]) & ~np.isnan(e[12 + j, :, 0])
             want = 1 - (e[i, both] * e[12 + j, both]).sum() / both.sum() if both.sum() >= 3 else np.nan
             assert got[i, j] == pytest.approx(want, nan_ok=True)
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_a_grid_of_a_tile_gives_the_pairs_that_are_formed_one_by_one(own, monkeypatch):
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    m = 41
+    x, y, ids = r.normal(size=(m, D)), r.integers(0, 5, size=(m, T)) / 4, r.permutation(m)
+    y[3, 1] = np.nan
+    side = np.zeros(m, int) if own else np.arange(m) % 2
+    tile = pd.DataFrame({"side": side, "own": own, "model_id": ids, "x": [{"bank": v} for v in x], "y": [v.astype("<f8").tobytes() for v in y]})
+    monkeypatch.setattr(PH, "GRID", (4, 7))
+    kinds = [(PH.signed_differences, "bank")]
+    got = np.concatenate([z.copy() for (z,) in PH._pairs(tile, (T,), "<f8", kinds, PH.wins)], axis=1)
+    plain = [(lambda a, b: PH.signed_differences(a, b), "bank")]
+    want = np.concatenate([z for (z,) in PH._pairs(tile, (T,), "<f8", plain, lambda a, b: PH.wins(a, b))], axis=1)
+    sort = lambda z: z[:, np.lexsort(z)]
+    assert got.shape == want.shape
+    assert (sort(got) == sort(want)).all()
+
+
+@pytest.mark.parametrize("dense", [1, 64, 1 << 20])
+def test_counts_are_those_of_the_listed_numbers(dense, monkeypatch):
+    monkeypatch.setattr(PH, "DENSE", dense)
+    monkeypatch.setattr(PH, "LISTED", 50)
+    r = np.random.default_rng(9)
+    counts, every = PH.Counts(), []
+    for width in (2, 30, 5, 200, 3):
+        y, p = r.integers(-1, 2, 100), r.integers(-width, width, 100)
+        counts.add(y, p)
+        every.append(np.stack([y, p]))
+    want, n = np.unique(np.concatenate(every, axis=1), axis=1, return_counts=True)
+    got = counts.rows()
+    assert (np.stack(got[:2]) == want).all() and (got[2] == n).all()
