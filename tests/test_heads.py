@@ -80,3 +80,43 @@ def test_logistic_separates_and_sits_at_the_optimum(spark):
     ratio = np.array([have[i] / want[i] for i in want])
     assert np.allclose(ratio, ratio[0], atol=1e-2)
     assert np.isclose(ratio[0], 1.0, atol=1e-2)
+
+
+def classes_of(n, k, folds, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 3)) @ np.array([[1, 0.9, 0], [0, 0.3, 0], [0, 0, 5.0]]) + 7
+    label = ((x[:, 0] + 0.7 * rng.normal(size=n)) * 1.5).astype(int) % k * 2
+    return x, label, np.arange(n) % folds
+
+
+def test_classes_of_all_folds_equal_fits_by_the_library(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    x, label, fold = classes_of(90, 4, 3)
+    label[fold == 0] = np.where(label[fold == 0] == 6, 9, label[fold == 0])  # a class that other folds only know from fold 0
+    rows = [(i, int(fold[i]), x[i].tolist(), int(label[i])) for i in range(90)]
+    got = {r["model_id"]: r for r in H.oof_logistic(spark.createDataFrame(rows, "model_id bigint, fold int, x array<double>, label int").repartition(4)).collect()}
+    for f in range(3):
+        tr = fold != f
+        z = (x - x[tr].mean(0)) / x[tr].std(0)
+        codes = sorted(set(label[tr].tolist()))
+        train = spark.createDataFrame([(Vectors.dense(z[i]), float(codes.index(label[i]))) for i in np.flatnonzero(tr)], ["features", "label"])
+        m = LogisticRegression(regParam=1 / tr.sum(), standardization=False, maxIter=500, tol=1e-13).fit(train)
+        raw = z[~tr] @ m.coefficientMatrix.toArray().T + m.interceptVector.toArray()
+        for i, own in zip(np.flatnonzero(~tr), raw):
+            assert got[i]["predicted"] == codes[int(own.argmax())] and got[i]["label"] == label[i]
+            assert abs(got[i]["score"] - own.max()) < 1e-4
+
+
+def test_more_folds_take_no_more_passes(spark):
+    def jobs(folds):
+        x, label, fold = classes_of(160, 3, folds)
+        rows = [(i, int(fold[i]), x[i].tolist(), int(label[i])) for i in range(160)]
+        df = spark.createDataFrame(rows, "model_id bigint, fold int, x array<double>, label int")
+        spark.sparkContext.setJobGroup(f"folds-{folds}", "")
+        H.oof_logistic(df).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds-{folds}"))
+
+    assert jobs(10) < 2 * jobs(2)

@@ -164,3 +164,12 @@ def test_an_input_is_made_when_a_task_first_reads_it(bank):
     for _ in range(2):
         assert TK.TASKS["length_profile"].run(lazy).first()["n_labelled"] == 30
     assert len(made) == 1
+
+
+def test_a_permutation_brings_both_models_columns(spark):
+    got = spark.createDataFrame([(i, i % 3, (i * 7) % 5) for i in range(30)], "model_id long, label int, predicted int")
+    value = {r["model_id"]: (r["label"], r["predicted"]) for r in got.collect()}
+    plain = {(r["draw"], r["model_id"], r["source_id"]) for r in permutations(got, 4, 7).collect()}
+    rows = permutations(got.withColumn("t", F.col("label")), 4, 7, ["predicted"], ["t"]).collect()
+    assert {(r["draw"], r["model_id"], r["source_id"]) for r in rows} == plain and len(rows) == 120
+    assert all(r["predicted"] == value[r["model_id"]][1] and r["t"] == value[r["source_id"]][0] for r in rows)
