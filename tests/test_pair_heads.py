@@ -152,3 +152,53 @@ def test_counts_are_those_of_the_listed_numbers(dense, monkeypatch):
     want, n = np.unique(np.concatenate(every, axis=1), axis=1, return_counts=True)
     got = counts.rows()
     assert (np.stack(got[:2]) == want).all() and (got[2] == n).all()
+
+
+def answered(r, n, q, dim, share):
+    """Vectors of the questions that each of n models answered: a dense array with NaN, and payloads."""
+    e = r.normal(size=(n, q, dim))
+    e /= np.linalg.norm(e, axis=2, keepdims=True)
+    e = e.astype("<f4")
+    e[r.random((n, q)) >= share] = np.nan
+    return e.astype(float), [PH.answer_bytes(np.flatnonzero(~np.isnan(v[:, 0])), v[~np.isnan(v[:, 0])]) for v in e]
+
+
+@pytest.mark.parametrize("laid", [1, 1 << 12, 1 << 25])
+def test_distances_of_held_answers_equal_those_laid_out_by_question(laid, monkeypatch):
+    monkeypatch.setattr(PH, "LAID", laid)
+    e, payloads = answered(np.random.default_rng(11), 20, 700, 3, 0.1)
+    payloads[3], e[3] = b"", np.nan
+    target = PH.AnswerDistance(8, 3)
+    held = target.payloads(payloads)
+    assert len(held) == 20
+    got, want = target.block(held[np.arange(2, 9)], held[np.arange(9, 20)]), PH.mean_distance(8).block(e[2:9], e[9:])
+    assert (np.isnan(got) == np.isnan(want)).all() and np.isnan(want[1]).all() and not np.isnan(want).all()
+    assert np.allclose(got, want, atol=1e-7, equal_nan=True)
+
+
+def test_held_answers_score_like_those_laid_out(spark, monkeypatch):
+    monkeypatch.setattr(PH, "GRID", (4, 7))
+    monkeypatch.setattr(PH, "WIDE", (9, 14))
+    x, _, fold, _ = table(spark, 3)
+    e, payloads = answered(np.random.default_rng(12), N, 40, 5, 0.4)
+    kinds, found = [(PH.symmetric, "bank"), (PH.level_and_gap, "level")], []
+    for y, shape, target, more in [
+        ([v.astype("<f4").tobytes() for v in e], (40, 5), PH.mean_distance(6), {"block": 13}),
+        (payloads, (), PH.AnswerDistance(6, 5), {"block": 8, "sizes": {k: N // K for k in range(K)}}),
+    ]:
+        rows = [(i, int(fold[i]), {"bank": x[i].tolist(), "level": [float(i)]}, y[i]) for i in range(N)]
+        df = spark.createDataFrame(rows, "model_id long, fold int, x struct<bank:array<double>,level:array<double>>, y binary")
+        counts = PH.pair_scores(df, shape, kinds, target, 1, False, "<f4", digits=3, **more)
+        found.append({(r["kind"], r["fold"]): (r["n"], round(r["spearman"], 4)) for r in PH.counted_spearman(counts).collect()})
+    assert found[0] == found[1] and len(found[0]) == 2 * K
+
+
+def test_no_model_is_copied_to_the_blocks_it_meets(spark):
+    """Blocks are written once, and two meet where they are read: the plan moves no rows."""
+    _, _, _, rows = table(spark)
+    blocks = PH.packed(rows, 6)
+    assert blocks.count() == blocks.rdd.getNumPartitions() == 12
+    for within in (False, True):
+        pairs = PH.met(blocks, within)
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+        assert pairs.count() == (36 if within else 144)
