@@ -173,3 +173,19 @@ def test_a_permutation_brings_both_models_columns(spark):
     rows = permutations(got.withColumn("t", F.col("label")), 4, 7, ["predicted"], ["t"]).collect()
     assert {(r["draw"], r["model_id"], r["source_id"]) for r in rows} == plain and len(rows) == 120
     assert all(r["predicted"] == value[r["model_id"]][1] and r["t"] == value[r["source_id"]][0] for r in rows)
+
+
+def test_answer_divergence_reads_every_question(spark):
+    """Two models have only 8 of 720 questions in common; a sample of questions would lose most of them."""
+    r = np.random.default_rng(6)
+    frame, n = spark.createDataFrame, 40
+    x = r.normal(size=(n, 3))
+    vectors = frame([(i, x[i].tolist()) for i in range(n)], "model_id long, vec array<double>")
+    cells = frame([(i, f"q{j}", "b", float(r.random()), 1) for i in range(n) for j in range(4)], "model_id long, question_id string, bench string, acc double, correct int")
+    models = frame([(i, i % 6, 1.0, None, i % 2) for i in range(n)], "model_id long, family int, params_b double, vram_gb double, is_chat int")
+    asked = [(i, q) for i in range(n) for q in [f"common{j:03d}" for j in range(8)] + [f"own{i:03d}-{j}" for j in range(18)]]
+    answers = frame([(i, q, (np.repeat(x[i], 2) + 0.3 * r.normal(size=6)).tolist()) for i, q in asked], "model_id long, question_id string, emb array<float>")
+    b = TK.Bench(vectors, cells, models, folds=4, permutations=3, draws=20, cache={"answers": answers})
+    row = TK.answer_divergence(b).first()
+    assert row["n_scored_pairs"] == 4 * 10 * 9 // 2 and row["n_folds_scored"] == 4
+    assert row["spearman_mean"] > 0.5
