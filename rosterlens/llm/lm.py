@@ -23,6 +23,8 @@ BITS, PROBES = 16, 11
 KAPPA = 20.0
 #: Bytes of training text whose n-grams make a segment, and of all segments that are broadcast at most.
 SEGMENT, BROADCAST = 32 << 20, 256 << 20
+#: Bytes of text whose distinct n-grams are asked for at once where the segments are not broadcast.
+ASKED = 4 << 20
 #: What ends a text and stands before its first word; no word has a space.
 END = W.xxhash.xxh3_64_intdigest(b" end ")
 
@@ -95,6 +97,16 @@ class Filter:
         return out
 
 
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, in as few bytes each as the largest needs; the first byte says how many."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(numbers) or int(numbers.max()) <= np.iinfo(k).max)
+    return bytes([int(kind[2])]) + numbers.astype(kind).tobytes()
+
+
+def widened(octets: bytes) -> np.ndarray:
+    return np.frombuffer(octets, f"<u{octets[0]}", offset=1).astype(np.int64)
+
+
 def _gather(order: int, shift: int):
     """Counts of a task's n-grams, cut up by segment."""
 
@@ -109,7 +121,7 @@ def _gather(order: int, shift: int):
                 part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
                 cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys)) if len(keys) else [0]
                 for a, b in zip(cut, cut[1:], strict=False):
-                    rows.append((int(part[a]), n, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()))
+                    rows.append((int(part[a]), n, keys[a:b].tobytes(), narrow(counts[a:b])))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
@@ -123,7 +135,7 @@ def _build(table: pa.Table) -> pa.Table:
     """One segment: exact word counts, and the filter's bits for all orders."""
     order = np.array(table.column("n").to_pylist())
     keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
+    counts = [widened(x) for x in table.column("counts").to_pylist()]
     entries, words = [], (np.empty(0, np.uint64), np.empty(0, np.int64))
     for n in sorted(set(order.tolist())):
         own = np.flatnonzero(order == n)
@@ -289,79 +301,76 @@ def score(docs: DataFrame, model: Model, keep: list[str], broadcast_bytes: int =
     return rows.mapInArrow(run, schema)
 
 
+def _answer(known: Filter, keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Levels of keys, a byte each, its upper bit set where a key is a word; and the exact counts of those."""
+    level, exact = known.quantised(keys), known.exact(keys)
+    return (level | np.where(exact > 0, 128, 0)).astype(np.uint8).tobytes(), narrow(exact[exact > 0])
+
+
 def _score_by_shuffle(rows: DataFrame, model: Model, plain: Model, schema: StructType) -> DataFrame:
     """Scores where the filter is too large to broadcast.
 
-    Documents ask for their distinct n-grams, and each segment answers in groups of askers (``turn``), so that
-    neither a hot n-gram nor a segment gathers all askers in one task.
+    Documents are dealt into groups of about ASKED bytes. A group asks once for each of its distinct n-grams, so a hot one
+    is one key a group, and a segment answers in the order of the keys, a byte each and the counts of words. A segment is
+    sent once for as much text as it was made of (``turn``).
     """
-    turns = 1 << 6
-    rows = rows.withColumn("ask", F.xxhash64("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, -(-total // ASKED))
     order, shift = model.order, model.shift
-
-    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.WordHashes()
-        for batch in W.pieces(batches, "text", 1 << 20):
-            out = []
-            for ask, text in zip(batch.column("ask").to_pylist(), W.text_bytes(batch.column("text")), strict=True):
-                s = sequence(text, cache)
-                keys = np.unique(np.concatenate([W.gram_hashes(s, n) for n in range(1, order + 1)]))
-                part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
-                cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys))
-                out += [(ask, int(part[a]), ask % turns, keys[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["ask", "segment", "turn", "keys"]
-            )
+    turns = max(1, -(-total // (SEGMENT << (64 - shift))))
+    names = [c for c in rows.columns if c != "text"]
+    rows = rows.withColumn("ask", F.pmod(F.xxhash64(*names, "text"), F.lit(groups)).cast("long"))
+    rows = rows.repartition("ask")
+
+    def wanted(group: pa.Table) -> np.ndarray:
+        cache, keys = W.WordHashes(), np.empty(0, np.uint64)
+        for batch in W.pieces(iter(group.combine_chunks().to_batches()), "text", 1 << 20):
+            held = [sequence(t, cache) for t in W.text_bytes(batch.column("text"))]
+            keys = np.unique(np.concatenate([keys, *(W.gram_hashes(s, n) for s in held for n in range(1, order + 1))]))
+        return keys
+
+    def asks(group: pa.Table) -> pa.Table:
+        ask, keys = group.column("ask")[0].as_py(), wanted(group)
+        part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+        cut = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(keys))
+        out = [(ask, int(part[a]), ask % turns, keys[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["of", "segment", "turn", "keys"])
 
     def answer(asked: pa.Table, segment: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
-        flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        level = exact = np.zeros(len(flat), np.int64)
+        known = Filter(64, np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint64), np.empty(0, np.int64))
         if segment.num_rows:
             own = segment.slice(0, 1).to_pylist()[0]
             three = own["words"], own["counts"], own["bits"]
             known = _assembled([(0, *map(len, three))], iter([(0, *three)]), 64)
-            level, exact = known.quantised(flat), known.exact(flat)
-        cut = np.cumsum([0, *(len(k) for k in keys)])
-        pick = lambda x: [x[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-        return pa.table(
-            {
-                "ask": asked.column("ask"), "keys": asked.column("keys"),
-                "level": pa.array(pick(level), pa.binary()), "exact": pa.array(pick(exact), pa.binary()),
-            }
-        )
-
-    asked = rows.dropDuplicates(["ask"]).select("ask", "text").mapInArrow(asks, "ask long, segment long, turn long, keys binary")
-    every = model.segments.select("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"), "words", "counts", "bits")
-    answers = (
-        asked.groupBy("segment", "turn")
-        .cogroup(every.groupBy("segment", "turn"))
-        .applyInArrow(answer, "ask long, keys binary, level binary, exact binary")
-        .groupBy("ask")
-        .agg(F.collect_list(F.struct("keys", "level", "exact")).alias("answers"))
-    )
+        found = [_answer(known, np.frombuffer(k, np.uint64)) for k in asked.column("keys").to_pylist()]
+        level, exact = ([f[i] for f in found] for i in (0, 1))
+        return pa.table({"of": asked.column("of"), "part": asked.column("segment"), "level": pa.array(level, pa.binary()), "exact": pa.array(exact, pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = W.WordHashes()
-        for batch in batches:
-            found = []
-            for text, parts in zip(W.text_bytes(batch.column("text")), batch.column("answers").to_pylist(), strict=True):
-                keys, level, exact = (
-                    np.concatenate([np.frombuffer(p[c], t) for p in parts]) for c, t in (("keys", np.uint64), ("level", np.int64), ("exact", np.int64))
-                )
-                sort = np.argsort(keys)
-                keys, level, exact = keys[sort], level[sort], exact[sort]
-
-                def lookup(wanted, keys=keys, level=level, exact=exact):
-                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                    same = keys[at] == wanted
-                    return np.where(same, level[at], 0), np.where(same, exact[at], 0)
-
-                found += _scored([sequence(text, cache)], plain, lookup)
-            yield _columns(batch, found, plain, {"text", "ask", "answers"})
-
-    return rows.join(answers, "ask").mapInArrow(run, schema)
+    asked = rows.groupBy("ask").applyInArrow(asks, "of long, segment long, turn long, keys binary")
+    every = model.segments.select("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))).alias("turn"), "words", "counts", "bits")
+    answers = asked.groupBy("segment", "turn").cogroup(every.groupBy("segment", "turn")).applyInArrow(answer, "of long, part long, level binary, exact binary")
+
+    def run(group: pa.Table, given: pa.Table) -> pa.Table:
+        keys = wanted(group)
+        parts = sorted(zip(*(given.column(c).to_pylist() for c in ("part", "level", "exact")), strict=True))
+        level = np.concatenate([np.frombuffer(p[1], np.uint8) for p in parts])
+        exact = np.zeros(len(keys), np.int64)
+        exact[level >= 128] = np.concatenate([widened(p[2]) for p in parts])
+        level = (level & 127).astype(np.int64)
+
+        def lookup(wanted):
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            same = keys[at] == wanted
+            return np.where(same, level[at], 0), np.where(same, exact[at], 0)
+
+        cache, done = W.WordHashes(), []
+        for batch in W.pieces(iter(group.combine_chunks().to_batches()), "text", 1 << 20):
+            found = _scored([sequence(t, cache) for t in W.text_bytes(batch.column("text"))], plain, lookup)
+            done.append(_columns(batch, found, plain, {"text", "ask"}))
+        return pa.Table.from_batches(done)
+
+    return rows.groupBy("ask").cogroup(answers.groupBy("of")).applyInArrow(run, schema)
 
 
 def held_out(doc_id: str | Column, parts: int) -> Column:

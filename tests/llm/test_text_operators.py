@@ -159,3 +159,17 @@ def test_levels_and_filter():
     assert lm.levels(c)[0] == 1
     assert (np.abs(lm.values(lm.levels(c)) - c) <= 0.25 * c).all()
     assert lm.values(np.array([0]))[0] == 0
+
+
+def test_groups_of_documents_ask_once_for_an_ngram(spark, odd, monkeypatch):
+    """Many groups give the scores of the broadcast filter; an answer is a byte for each key, and the counts of words."""
+    monkeypatch.setattr(lm, "ASKED", 1 << 14)
+    docs = odd.select("doc_id", "text")
+    model = lm.train(docs, segment_bytes=50_000)
+    one, two = (sorted(map(tuple, lm.score(docs, model, ["doc_id"], broadcast_bytes=n).collect()), key=str) for n in (1 << 30, 0))
+    assert one == two
+    words = np.array([3, 9], np.uint64)
+    known = lm.Filter(64, np.zeros(1, np.int64), np.zeros(1, np.int64), np.empty(0, np.uint8), words, np.array([70_000, 2]))
+    level, exact = lm._answer(known, np.array([1, 3, 5, 9], np.uint64))
+    assert list(level) == [0, 128, 0, 128] and lm.widened(exact).tolist() == [70_000, 2]
+    assert [len(lm.narrow(np.array(x))) for x in ([], [255], [256, 1], [1 << 32])] == [1, 2, 5, 9]
