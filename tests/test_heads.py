@@ -120,3 +120,18 @@ def test_more_folds_take_no_more_passes(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"folds-{folds}"))
 
     assert jobs(10) < 2 * jobs(2)
+
+
+def test_a_ridge_turns_few_rows_into_matrices_at_once():
+    """Slices follow the number of targets, not the size of the batch that Spark sends."""
+    import pandas as pd
+
+    from rosterlens.operators import heads as H
+
+    def batch(rows, targets):
+        return pd.DataFrame({"model_id": range(rows), "x": [np.zeros(16)] * rows, "y": [np.zeros(targets)] * rows})
+
+    got = list(H.in_slices(iter([batch(10_000, 1640), batch(0, 3), batch(10_000, 1)])))
+    assert sum(map(len, got)) == 20_000 and len(got[-1]) == 10_000
+    assert max(8 * len(p) * (16 + len(p["y"].iloc[0])) for p in got) <= H.HELD
+    assert len(next(H.in_slices(iter([batch(3, 4_000_000)])))) == 1
